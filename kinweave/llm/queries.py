@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, decontaminate, pii
-from kinweave.llm.common import table
+from kinweave.llm import bpe, decontaminate, langid, media, pii, quality, toxicity
+from kinweave.llm.common import mod_crc, table
+
+
+def _held_out(scored: DataFrame, by: int, rest: int) -> DataFrame:
+    """With `held_out` after doc_id; a null doc_id is not held out."""
+    return scored.select("doc_id", F.coalesce(mod_crc("doc_id", by) == rest, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(mod_crc("doc_id", 5) != 0))
+    return _held_out(toxicity.score(documents, model), 5, 0)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,17 +26,37 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    names, log_p = langid.train(documents.where(mod_crc("doc_id", 3) != 1))
+    return _held_out(langid.predict(documents, names, log_p), 3, 1)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(documents, labels.where(mod_crc("doc_id", 5) != 0))
+    return _held_out(quality.score(documents, model), 5, 0)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
+    "op6_media": op6_media,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
 }
 
@@ -37,7 +68,7 @@ with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
  x as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as phrase
        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from p) where len(w) >= n)),
  o as (select doc_id, item, i, x.n from x join p using (n, phrase)),
- h as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + n)) as at from o) group by 1),
+ h as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + n)) as pos from o) group by 1),
  m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from o) group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
