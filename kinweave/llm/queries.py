@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, decontaminate, langid, media, pii, quality, toxicity
+from kinweave.llm import bpe, decontaminate, html_text, langid, licenses, media, pii, quality, toxicity
 from kinweave.llm.common import mod_crc, table
 
 
@@ -26,6 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     names, log_p = langid.train(documents.where(mod_crc("doc_id", 3) != 1))
@@ -50,14 +54,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op6_media": op6_media,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "op10_html_text": op10_html_text,
 }
 
 OP5_SQL = r"""
@@ -76,5 +86,6 @@ from d left join h using (doc_id) left join m using (doc_id)
 """
 
 ORACLE: dict[str, str] = {
+    "op3_licenses": licenses.oracle_sql(),
     "op5_decontamination": OP5_SQL,
 }
