@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, decontaminate, html_text, langid, licenses, media, pii, quality, toxicity
+from kinweave.llm import bpe, decontaminate, html_text, langid, licenses, media, near_dup, pii, quality, toxicity
 from kinweave.llm.common import mod_crc, table
 
 
@@ -54,6 +54,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "op9_near_dup": op9_near_dup,
     "op10_html_text": op10_html_text,
 }
 
