@@ -218,16 +218,20 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     return [known if n == 1 else known.where(F.expr(f"pmod(xxhash64(item), {n}) = {b}")) for b in range(n)]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, keep: bool = False) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """id, n_words, spans (array of start and end in words, end exclusive) and items (sorted) of every document.
 
-    With keep, all columns of documents come first and `clean` has the text without the spans. The benchmark goes to the
-    executors in blocks of about `block_bytes` of text; each block is one pass over the documents within the same stage,
+    The benchmark goes to the executors in blocks of about `block_bytes` of text; each block is one pass over the documents within the same stage,
     so a larger benchmark needs more passes, not more memory. Documents and items without words match nothing; null is
     empty; items of null id are ignored; the rows of a repeated item_id make one item.
     """
-    spark = documents.sparkSession
-    base = documents.select(*([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)] if keep else []), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _searched(base, benchmark, item_col, item_text_col, window, block_bytes).select(F.col("id").alias(id_col), "n_words", "spans", "items")
+
+
+def _searched(base: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """base, which has the text without nulls as `text`, with n_words, spans and items behind its columns."""
+    spark = base.sparkSession
     out = base.selectExpr("*", "0L as n_words", "cast(array() as array<struct<start:int,end:int>>) as spans", "cast(array() as array<string>) as items")
     schema = out.schema
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -252,34 +256,34 @@ def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             return step
 
         out = map_arrow(out, make, schema)
-    if not keep:
-        return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
-
-    def cut():
-        def step(batch):
-            names = batch.schema.names
-            spans = batch.column(names.index("spans")).to_pylist()
-            texts = batch.column(names.index("text"))
-            clean = pa.array([without(t.as_py().encode(), [(x["start"], x["end"]) for x in s]).decode() if s else t.as_py() for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, clean], [*names, "clean"])
-
-        return step
-
-    from pyspark.sql.types import StructType
-
-    done = map_arrow(out, cut, StructType([*schema.fields]).add("clean", "string"))
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)], *[F.col(c).alias(f"decontamination_{c}") for c in ("n_words", "spans", "items", "clean")])
+    return out
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """documents with the benchmark passages cut out of their texts; texts of which no word is left go.
 
     Documents without a passage stay as they are, empty and null ones too.
     """
-    found = find(documents, benchmark, text_col=text_col, keep=True, **options)
-    hit, left = F.size("decontamination_items") > 0, F.col("decontamination_clean").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    kept = found.where(~hit | left)
-    return kept.select(*[F.when(hit, F.col("decontamination_clean")).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    at = names[documents.columns.index(text_col)]
+    base = documents.toDF(*names).withColumn("text", F.coalesce(at, F.lit("")))
+    found = _searched(base, benchmark, item_col, item_text_col, window, block_bytes)
+
+    def make():
+        def step(batch):
+            spans = batch.column(batch.schema.names.index("spans")).to_pylist()
+            i, text, keep = batch.schema.names.index(at), batch.column(batch.schema.names.index("text")), []
+            old, new = batch.column(i), []
+            for j, s in enumerate(spans):
+                t = without(text[j].as_py().encode(), [(x["start"], x["end"]) for x in s]) if s else None
+                keep.append(t is None or bool(words_of(t)))
+                new.append(old[j].as_py() if t is None else t.decode())
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([(pa.array(new, pa.string()) if k == i else batch.column(k)).filter(keep) for k in range(len(names))], names)
+
+        return step
+
+    return map_arrow(found, make, base.select(*names).schema).toDF(*documents.columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -63,7 +63,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     parts = found.reshape(len(found), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48), (len(found), BANDS)).copy()
     for r in range(ROWS):
-        key = mix64(key ^ (parts[:, :, r] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(r + 1)))
+        key = mix64(key ^ (parts[:, :, r] + np.uint64(0x9E3779B97F4A7C15 * (r + 1) % (1 << 64))))
     return key.astype(np.int64)
 
 
@@ -291,4 +291,5 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """documents with one row of each component: the row of the least id. Rows of null id or without words stay."""
     found = find(documents, id_col, text_col, shingle, percent)
     dropped = stored(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("dropped_id")).distinct())
-    return documents.join(small(dropped), documents[id_col] == F.col("dropped_id"), "left_anti")
+    gone = small(dropped)
+    return documents.join(gone, documents[id_col] == gone["dropped_id"], "left_anti")
