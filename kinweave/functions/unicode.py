@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kinweave.functions import text
 
@@ -68,12 +69,12 @@ def romanize(token: str) -> str:
     return "".join([*out, open_a])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_any(s: pd.Series) -> pd.Series:
     return s.map(normalize_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def romanize_any(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t if t.isascii() else romanize(t))
 

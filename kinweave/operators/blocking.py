@@ -84,9 +84,9 @@ def rescored(pairs: DataFrame, channel: DataFrame, weights: DataFrame, prefix: s
     """Pairs (country, s1, cand) with shared and score over all indexed tokens of a channel; none shared: 0 and 0."""
     q, t = postings(channel, weights, True), postings(channel, weights, False)
     of_pair = pairs.select("country", "s1", "cand").join(q.select("s1", "token", "w"), "s1").join(t.select("cand", "token"), ["cand", "token"])
-    sums = of_pair.groupBy("s1", "cand").agg(F.count("*").alias("shared"), F.round(F.sum("w"), 6).alias("score"))
+    sums = of_pair.groupBy("s1", "cand").agg(F.count("*").alias("_shared"), F.round(F.sum("w"), 6).alias("_score"))
     out = pairs.join(sums, ["s1", "cand"], "left")
-    return out.select(*pairs.columns, F.coalesce("shared", F.lit(0)).alias(f"{prefix}shared"), F.coalesce("score", F.lit(0.0)).alias(f"{prefix}score"))
+    return out.select(*pairs.columns, F.coalesce("_shared", F.lit(0)).alias(f"{prefix}shared"), F.coalesce("_score", F.lit(0.0)).alias(f"{prefix}score"))
 
 
 def block(views: DataFrame, topk: int = TOPK, name_topk: int = NAME_TOPK, df_cap: int = DF_CAP, gen_cap: int | None = None, name_gen_cap: int | None = None, min_shared: int = MIN_SHARED) -> DataFrame:

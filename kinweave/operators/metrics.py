@@ -10,19 +10,19 @@ from kinweave.operators.decide import GRID, best_claims
 
 
 def entity_counts(entities: DataFrame, links: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """s1, predicted, true, hits for every entity; links and truth: s1, cand."""
+    """s1, predicted, actual, hits for every entity; links and truth: s1, cand."""
     keys = [*(by or []), "s1"]
     right = truth.join(entities.select("s1").distinct(), "s1", "left_semi").select("s1", "cand")
     hits = links.join(right.withColumn("hit", F.lit(1)), ["s1", "cand"], "left").groupBy(*keys).agg(F.count("*").alias("predicted"), F.count("hit").alias("hits"))
     base = entities.select(*keys).distinct()
-    out = base.join(hits, keys, "left").join(right.groupBy("s1").agg(F.count("*").alias("true")), "s1", "left")
-    return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("predicted", "true", "hits")])
+    out = base.join(hits, keys, "left").join(right.groupBy("s1").agg(F.count("*").alias("actual")), "s1", "left")
+    return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("predicted", "actual", "hits")])
 
 
 def f05(counts: DataFrame) -> DataFrame:
     """counts with f05: 1 if nothing is predicted nor true, 0 without a hit."""
-    p, r = F.col("hits") / F.greatest("predicted", F.lit(1)), F.col("hits") / F.greatest("true", F.lit(1))
-    score = F.when((F.col("predicted") == 0) & (F.col("true") == 0), 1.0).when(F.col("hits") == 0, 0.0).otherwise(1.25 * p * r / F.when(F.col("hits") > 0, 0.25 * p + r).otherwise(1.0))
+    p, r = F.col("hits") / F.greatest("predicted", F.lit(1)), F.col("hits") / F.greatest("actual", F.lit(1))
+    score = F.when((F.col("predicted") == 0) & (F.col("actual") == 0), 1.0).when(F.col("hits") == 0, 0.0).otherwise(1.25 * p * r / F.when(F.col("hits") > 0, 0.25 * p + r).otherwise(1.0))
     return counts.withColumn("f05", score)
 
 
@@ -80,8 +80,8 @@ def missed_links(truth: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def taxonomy(counts: DataFrame) -> DataFrame:
     """outcome, entities, of entity_counts(): perfect, false links, missed links, both, and links of true singletons."""
-    false, miss = F.col("predicted") - F.col("hits"), F.col("true") - F.col("hits")
-    kind = F.when((false == 0) & (miss == 0), "perfect").when((false > 0) & (miss > 0), "both").when(miss > 0, "missed_only").when(F.col("true") == 0, "false_only_singleton").otherwise("false_only")
+    false, miss = F.col("predicted") - F.col("hits"), F.col("actual") - F.col("hits")
+    kind = F.when((false == 0) & (miss == 0), "perfect").when((false > 0) & (miss > 0), "both").when(miss > 0, "missed_only").when(F.col("actual") == 0, "false_only_singleton").otherwise("false_only")
     return counts.groupBy(kind.alias("outcome")).agg(F.count("*").alias("entities"), F.sum(false).alias("false_links"), F.sum(miss).alias("missed_links"))
 
 
@@ -89,8 +89,8 @@ def cohorts(counts: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """Metrics of overlapping cohorts of entities, each named by a condition on the columns of counts."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
     return f05(counts).withColumn("cohort", F.explode(names)).groupBy("cohort").agg(
-        F.count("*").alias("entities"), F.avg("f05").alias("macro_f05"), F.sum(F.col("predicted") - F.col("hits")).alias("false_links"), F.sum(F.col("true") - F.col("hits")).alias("missed_links"),
-        F.sum(((F.col("true") == 0) & (F.col("predicted") > 0)).cast("int")).alias("false_singleton_merges"),
+        F.count("*").alias("entities"), F.avg("f05").alias("macro_f05"), F.sum(F.col("predicted") - F.col("hits")).alias("false_links"), F.sum(F.col("actual") - F.col("hits")).alias("missed_links"),
+        F.sum(((F.col("actual") == 0) & (F.col("predicted") > 0)).cast("int")).alias("false_singleton_merges"),
     )
 
 
