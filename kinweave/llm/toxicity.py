@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinweave.llm.common import buffers, id_text, labels_of, map_arrow, row_chunks, shingle_sets, ship
 
@@ -121,28 +122,39 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(s, -40, 40))))
 
 
-def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, changes: np.ndarray, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> np.ndarray:
+def solve(rows: list, width: int, y: np.ndarray, changes: np.ndarray, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> np.ndarray:
     """Weights, the bias last: mean log loss + ridge * |w|^2 + counterfactual * mean((changes @ w)^2) by Nesterov's method.
 
-    Words that only tell a term from its partner carry a score change; the penalty drives those to nothing.
+    rows: the features that each text has. Marks that only tell a term from its partner carry a score change; the penalty
+    drives those to nothing.
     """
-    n, k = x.shape
-    total = weight.sum()
-    x = np.column_stack([x, np.ones(n, np.float32)])
-    penalty = np.full(k + 1, ridge)
+    n = len(rows)
+    sizes = np.array([len(r) + 1 for r in rows])
+    at = np.concatenate([np.append(np.asarray(r, np.int64), width) for r in rows])  # each text has the bias
+    starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
+    penalty = np.full(width + 1, ridge)
     penalty[-1] = 0
-    gram = np.zeros((k + 1, k + 1))
+    gram = np.zeros((width + 1, width + 1))
     if len(changes):
-        c = changes.astype(np.float64)
-        gram[:k, :k] = c.T @ c / len(c)
-    w = np.zeros(k + 1)
+        gram[:width, :width] = changes.T @ changes / len(changes)
+
+    def forward(w):
+        return np.add.reduceat(w[at], starts)
+
+    def back(g):
+        return np.bincount(at, g[of], width + 1)
+
+    v = np.ones(width + 1)
+    for _ in range(30):  # largest curvature, by the power method
+        v = back(forward(v)) / n / 4 + 2 * penalty * v + 2 * counterfactual * gram @ v
+        curve = float(np.linalg.norm(v))
+        v /= curve
+    step = 1 / (1.2 * curve)
+    w = np.zeros(width + 1)
     v = w.copy()
-    own = float(np.linalg.norm((x * (weight / total)[:, None].astype(np.float32)).T @ x, 2))
-    step = 1 / (own / 4 + 2 * ridge + 2 * counterfactual * (float(np.linalg.norm(gram, 2)) if len(changes) else 0) + 1e-12)
     for t in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32), -30, 30)))
-        grad = x.T @ ((p - y) * weight / total).astype(np.float32) + 2 * penalty * v + 2 * counterfactual * gram @ v
-        new = v - step * grad
+        p = 1 / (1 + np.exp(-np.clip(forward(v), -30, 30)))
+        new = v - step * (back((p - y) / n) + 2 * penalty * v + 2 * counterfactual * gram @ v)
         v = new + t / (t + 3) * (new - w)
         w = new
     return w
@@ -216,9 +228,6 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _fit_once(found, cases: list[list[bytes]], terms: dict, reader: Reader, counterfactual: float) -> np.ndarray:
-    x = np.zeros((len(found), reader.width), np.float32)
-    for i, f in enumerate(found["x"]):
-        x[i, f] = 1
     changes = []
     for sentence in cases:
         row = np.zeros(reader.width, np.float32)
@@ -227,38 +236,38 @@ def _fit_once(found, cases: list[list[bytes]], terms: dict, reader: Reader, coun
             change = -row
             change[reader.features(other)] += 1
             changes.append(change)
-    return solve(x, found["y"].to_numpy(np.float64), np.ones(len(found)), np.array(changes, np.float32).reshape(-1, reader.width), counterfactual)
+    return solve(list(found["x"]), reader.width, found["y"].to_numpy(np.float64), np.array(changes, np.float32).reshape(-1, reader.width), counterfactual)
 
 
-def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, keep: bool = False) -> DataFrame:
-    """id, score and predicted (1 if score >= cut) of every whole text; with keep, all columns of documents come first.
+def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """id, score and predicted (1 if score >= cut) of every whole text.
 
     Null is empty; the empty text has the score of the bias; without a model scores are 0. One row in, one row out.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-    base = documents.select(*([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)] if keep else []), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _scored(id_text(documents, id_col, text_col), model, cut).select(F.col("id").alias(id_col), "score", "predicted")
+
+
+def _scored(base: DataFrame, model: Model | None, cut: float) -> DataFrame:
+    """base with score and predicted in the place of `text`, which has no nulls and comes last."""
+    sent = base.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = sent.value
         reader = model.reader() if model else None
 
         def step(batch):
-            names = batch.schema.names
-            s = np.array([model.score(words_of(t.as_py().encode()), reader) if model else 0.0 for t in batch.column(names.index("text"))], np.float64)
-            cols = [c for c, x in zip(batch.columns, names, strict=True) if x != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= cut).astype(np.int32))], [*(x for x in names if x != "text"), "score", "predicted"])
+            texts = batch.column(batch.num_columns - 1)
+            s = np.array([model.score(words_of(t.as_py().encode()), reader) if model else 0.0 for t in texts], np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= cut).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
         return step
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType([f for f in base.schema.fields if f.name != "text"]).add("score", "double").add("predicted", "integer")
-    out = map_arrow(base, make, schema)
-    if not keep:
-        return out.withColumnRenamed("id", id_col)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)], F.col("score").alias("toxicity_score"), F.col("predicted").alias("toxicity_predicted"))
+    schema = StructType(base.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
+    return map_arrow(base, make, schema)
 
 
-def reject(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """documents without those of a score of at least cut."""
-    return score(documents, model, id_col, text_col, cut, keep=True).where("toxicity_predicted = 0").select(*[F.col(f"`{c}`") for c in documents.columns])
+def reject(documents: DataFrame, model: Model | None, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """documents without those of a score of at least cut. Null and empty texts have the score of the bias."""
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    base = documents.toDF(*names).withColumn("text", F.coalesce(names[documents.columns.index(text_col)], F.lit("")))
+    return _scored(base, model, cut).where("predicted = 0").select(*names).toDF(*documents.columns)
