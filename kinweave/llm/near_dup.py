@@ -9,11 +9,11 @@ parts' registers, and those of similar sets are often equal. The steps:
 3. every member of a bucket is a candidate with the bucket's least class (its hub), never all pairs;
 4. the likelihood of three counts (registers above, below, equal) and the two known sizes estimates the similarity of a
    candidate; those far under the threshold go, the rest are confirmed on their full sets;
-5. confirmed links give components; where a bucket still holds several components, all its members across components are
-   estimated in blocks of bounded size, and again those near the threshold are confirmed.
+5. confirmed links give components; buckets that still hold several components are joined to families, and all pairs of
+   a family across components are confirmed on their full sets, in blocks of bounded size.
 
-After 5 no bucket has an unconfirmed candidate across components. With 32 bands of 4 registers two sets of similarity 0.8
-share no bucket once in 2 * 10^7 times, and an estimate falls short of the slack about as rarely as 4.5 deviations.
+So no bucket keeps an unconfirmed pair across components. With 32 bands of 4 registers two sets of similarity 0.8
+share no bucket once in 2 * 10^7 times; an estimate that falls short of the slack costs nothing, as step 5 goes without it.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 SLACK = 4.5
 #: Shingles that the registers take in at once.
 TILE = 1 << 15
-#: Members of a block within a mixed bucket.
-BLOCK = 1500
+#: Members of a block within a family; sets up to which a hash is counted pair by pair; hashes of one matrix product.
+BLOCK, FEW, COLUMNS = 1000, 24, 8192
 
 _rng = np.random.default_rng(20_240_601)
 _FACTORS = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -216,36 +216,73 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs across components within mixed buckets; members: key, sig, label.
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes.
 
-    A bucket of over BLOCK members is dealt into blocks, and each pair of blocks is a task of its own.
+    Hashes that few sets have are counted pair by pair, the others by products of 0-1 matrices, COLUMNS hashes at a time.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("members"))
-    rows = members.join(sizes, "key").join(sketches.select("sig", "n", "regs"), "sig")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sig", "key"), F.col("blocks")).cast("int"))
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.int64)
+    many = times[number] > FEW
+    few_n, few_o = number[~many], owner[~many]
+    for d in range(1, FEW):
+        same = few_n[d:] == few_n[:-d]
+        if not same.any():
+            break
+        out += np.bincount(few_o[:-d][same] * n + few_o[d:][same], minlength=n * n).reshape(n, n)
+    out += out.T
+    _, column = np.unique(number[many], return_inverse=True)
+    row = owner[many]
+    for c in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        part = (column >= c) & (column < c + COLUMNS)
+        matrix = np.zeros((n, COLUMNS), np.float32)
+        matrix[row[part], column[part] - c] = 1
+        out += (matrix @ matrix.T).astype(np.int64)
+    return out
+
+
+def spanning(links: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join what is still apart: labels that a link has joined count as one from then on."""
+    label, out = label.copy(), []
+    for i in range(len(links)):
+        for j in np.flatnonzero(links[i] & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) across components within families; members: family, sig, label; sets: sig, set.
+
+    A family of over BLOCK members is dealt into blocks, and each pair of blocks is a task of its own. All pairs of a task
+    are compared on their full sets, in memory; what comes out is no more than a forest over its members.
+    """
+    sizes = members.groupBy("family").agg(F.count("*").alias("members"))
+    rows = members.join(sizes, "family").join(sets, "sig")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "label", "n", "regs")
-    cut = _cut(threshold)
+    rows = rows.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "label", "set")
 
     def search(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        own, n = table.column("own").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-        sig, label = table.column("sig").to_pylist(), np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        a, b = [], []
-        for i in left.tolist():
-            other = right[right > i] if low == high else right
-            other = other[(label[other] != label[i]) & (np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]) - 1e-9)]
-            if len(other):
-                above, below = (regs[i] > regs[other]).sum(axis=1), (regs[i] < regs[other]).sum(axis=1)
-                for o in other[estimate(above, below, np.full(len(other), n[i]), n[other]) >= cut].tolist():
-                    a.append(min(sig[i], sig[o]))
-                    b.append(max(sig[i], sig[o]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return rows.groupBy("key", "low", "high").applyInArrow(search, "a binary, b binary").distinct()
+        table = table.sort_by("sig")
+        sig, own = table.column("sig").to_pylist(), table.column("own").to_numpy()
+        label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        own_sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in own_sets])
+        same = intersections(own_sets)
+        links = 100 * same >= percent * (size[:, None] + size - same)
+        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            links &= own[:, None] != own
+        found = spanning(links, label)
+        return pa.table({"a": pa.array([sig[i] for i, _ in found], pa.binary()), "b": pa.array([sig[j] for _, j in found], pa.binary())})
+
+    return rows.groupBy("family", "low", "high").applyInArrow(search, "a binary, b binary")
 
 
 def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -260,15 +297,16 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stored(_estimated(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct(), classes, threshold))
     links = stored(_confirmed(pairs, stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle)), percent))
     labels = components(links)
-    labelled = shared.select("key", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
+    labelled = shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "hub", F.coalesce("label", "sig").alias("label"))
     labelled = stored(labelled)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    done = pairs.select("a", "b")
-    more = stored(_across(labelled.join(mixed, "key", "left_semi"), classes, threshold).join(done, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        further = _confirmed(more, stored(_full_sets(documents, classes, more, id_col, text_col, shingle)), percent)
-        links = stored(links.select("a", "b").union(further))
-        labels = components(links)
+    members = stored(labelled.join(mixed, "key", "left_semi").groupBy("sig", "hub").agg(F.first("label").alias("label")))
+    families = components(members.selectExpr("hub as a", "sig as b"))
+    own = stored(members.groupBy("sig").agg(F.first("label").alias("label")).join(families.selectExpr("node as sig", "label as family"), "sig"))
+    sets = stored(_full_sets(documents, classes, own.selectExpr("sig as a", "sig as b"), id_col, text_col, shingle))
+    further = stored(_across(own, sets, percent))
+    if further.limit(1).count():
+        labels = components(links.select("a", "b").union(further))
     least = classes.select("sig", "id").join(labels.withColumnRenamed("node", "sig"), "sig").groupBy("label").agg(F.min("id").alias("component"))
     linked = labels.join(least, "label").select(F.col("node").alias("sig"), "component")
     members = classes.select("sig", "id").join(linked, "sig", "left").select("sig", F.coalesce("component", "id").alias("component"))
