@@ -653,6 +653,51 @@ def classifier_pairs(spark, sf_dir):
     return models.demo(_pairs(spark, sf_dir, topk=10, name_topk=5), _truth(spark, sf_dir))
 
 
+_BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
+_SMALL = {"trees": 3, "depth": 3, "step": 0.3}
+
+
+def _matrix(spark, sf_dir):
+    """Labelled candidate pairs with base features: the input of the learned operators."""
+    from kinweave.plans.staging import staged
+
+    return staged(models.labelled(_pairs(spark, sf_dir, topk=10, name_topk=5), _truth(spark, sf_dir)))
+
+
+@query("s1 long, cand long, y long, fold long, p double")
+def out_of_fold_scores(spark, sf_dir):
+    return models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES, folds=2, **_SMALL)
+
+
+@query("s1 long, cand long, p double, q double")
+def calibrated_scores(spark, sf_dir):
+    data = _matrix(spark, sf_dir)
+    return models.calibrate(models.score(models.fit(data, _BASE_FEATURES, **_SMALL), data, _BASE_FEATURES))
+
+
+@query("s1 long, cand long, p double")
+def trained_links(spark, sf_dir):
+    data = _matrix(spark, sf_dir)
+    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir), _BASE_FEATURES, context=["score", "rank"], **_SMALL)
+    return models.predict(bundle, data, shift=0.01)
+
+
+@query("s1 long, cand long, p1 double, coh_n_strong double, num_exact_shared double, p2 double")
+def second_stage_scores(spark, sf_dir):
+    data = _matrix(spark, sf_dir)
+    scored = models.score(models.fit(data, _BASE_FEATURES, **_SMALL), data, _BASE_FEATURES).select("s1", "cand", "p")
+    matrix, names = models.second_stage(scored, data, _views(spark, sf_dir), _BASE_FEATURES)
+    return models.score(models.fit(matrix, names, **_SMALL), matrix, names, "p2")
+
+
+@query("variant string, canonical string, score double, count long")
+def alias_bootstrap(spark, sf_dir):
+    """Aliases mined from confident links of unlabelled data, added to a base lexicon."""
+    sure = _decided(spark, sf_dir).where("p >= 0.7").select("s1", "cand")
+    seqs = _records(spark, sf_dir).select("code", "source", text.name_tokens(F.col("name")).alias("name_seq"), text.tokens(F.col("address")).alias("addr_seq"))
+    return aliases.merge(_lexicons(spark)[0], aliases.mine(seqs.where("source = 1"), sure, seqs, latin_factor=1, min_count=2))
+
+
 @query("cand long, t_best double, t_claims long", f"with {duck.pairs()}, {duck.CONTENTION} select cand, t_best, t_claims from meta")
 def stream_contention(spark, sf_dir):
     return incremental.contention_of_stream(_pairs(spark, sf_dir))
