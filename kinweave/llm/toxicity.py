@@ -169,7 +169,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n = own.count()
     if n > max_rows:
         own = own.where(F.expr(f"pmod(xxhash64(label_id), 1000000) < {int(1_000_000 * max_rows / n)}"))
-    joined = id_text(documents, id_col, text_col).join(own, F.col("id") == F.col("label_id")).select("text", "y")
+    # at most about max_rows ids and labels, so that no text is shuffled for them
+    joined = id_text(documents, id_col, text_col).join(F.broadcast(own), F.col("id") == F.col("label_id")).select("text", "y")
     terms = partners(groups)
 
     def prepare(batches):
