@@ -28,9 +28,9 @@ FURTHER = re.compile("[^\x00-ɏ]").search
 #: Bytes from which a piece goes through the heap.
 LONG_PIECE = 256
 #: Pieces whose ids a task remembers.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 #: Cells of one matrix at most.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def parse_ranks(lines: bytes) -> dict[bytes, int]:

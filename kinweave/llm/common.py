@@ -10,6 +10,7 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -21,14 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy operators work on at once; a longer text is one chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch at most, which bounds what a task holds of long texts in the JVM and in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package through Spark's own file server, once for each application."""
+    """Give the executors this package through Spark's own file server, once for each application, and bound Arrow batches."""
     sc = spark.sparkContext
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None) or ""
+        if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= most):
+            spark.conf.set(key, str(most))
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -48,16 +57,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: Spark keeps Python workers for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with a per-task state: make() is called once a task and returns the batch function."""
     ship(df.sparkSession)
 
     def run(batches):
-        step = None
-        for b in batches:
-            if b.num_rows:
-                step = step or make()
-                yield from step(b)
+        step = b = None
+        try:
+            for b in batches:
+                if b.num_rows:
+                    step = step or make()
+                    yield from step(b)
+        finally:
+            step = b = None  # noqa: F841  caches and the last batch go before the release
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import buffers, id_text, map_arrow, mix64, shingle_sets
+from kinweave.llm.common import buffers, id_text, map_arrow, mix64, release, row_chunks, shingle_sets
 from kinweave.llm.shared import small, stored
 
 BANDS, ROWS = 32, 4
@@ -87,14 +87,10 @@ def _cut(threshold: float) -> float:
 
 
 def _sets(batch, k: int):
+    """(first row, row behind the last, sets, sizes) of parts of a batch."""
     data, off = buffers(batch.column(batch.schema.names.index("text")))
-    size, at = 1 << 21, 0
-    n = len(off) - 1
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
-        end = min(end, n)
-        yield at, end, *shingle_sets(data, off[at : end + 1], k)
-        at = end
+    for a, b in row_chunks(off):
+        yield a, b, *shingle_sets(data, off[a : b + 1], k)
 
 
 def _digests(sets: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
@@ -280,6 +276,8 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if table.column("low")[0].as_py() != table.column("high")[0].as_py():
             links &= own[:, None] != own
         found = spanning(links, label)
+        del same, links, own_sets
+        release()
         return pa.table({"a": pa.array([sig[i] for i, _ in found], pa.binary()), "b": pa.array([sig[j] for _, j in found], pa.binary())})
 
     return rows.groupBy("family", "low", "high").applyInArrow(search, "a binary, b binary")

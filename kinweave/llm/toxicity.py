@@ -52,7 +52,7 @@ STEMS, END = range(3, 8), "$"
 #: A mark counts when it occurs at least once, twice and three times; so do the words of the lexicon together, up to five.
 LEVELS, LEXICON_LEVELS = 3, 5
 #: Words whose marks a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def words_of(text: bytes) -> list[bytes]:
