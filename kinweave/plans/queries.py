@@ -42,16 +42,19 @@ def query(columns: str, sql: str | None = None):
     return add
 
 
-def _records(spark, sf_dir):
-    return er_view.records(spark, sf_dir)
+# whole: the record view of whole texts, for the queries that have no SQL
 
 
-def _views(spark, sf_dir):
-    return blocking.record_views(_records(spark, sf_dir))
+def _records(spark, sf_dir, whole=False):
+    return er_view.records(spark, sf_dir, whole)
 
 
-def _pairs(spark, sf_dir, **options):
-    return blocking.block(_views(spark, sf_dir), **options)
+def _views(spark, sf_dir, whole=False):
+    return blocking.record_views(_records(spark, sf_dir, whole))
+
+
+def _pairs(spark, sf_dir, whole=False, **options):
+    return blocking.block(_views(spark, sf_dir, whole), **options)
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -59,8 +62,8 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p", F.round(F.col("score") / (F.col("score") + 50), 6))
 
 
-def _truth(spark, sf_dir):
-    return er_view.true_links(_records(spark, sf_dir))
+def _truth(spark, sf_dir, whole=False):
+    return er_view.true_links(_records(spark, sf_dir, whole))
 
 
 def _entities(spark, sf_dir):
@@ -146,14 +149,15 @@ def canonical_tokens(spark, sf_dir):
 def normalize_unicode(spark, sf_dir):
     from kinweave.functions import unicode
 
-    return unicode.with_normalized(_records(spark, sf_dir), "name", "toks").select("code", "toks")
+    r = _records(spark, sf_dir, whole=True).select("code", F.concat("name", "address").alias("text"))
+    return unicode.with_normalized(r, "text", "toks").select("code", "toks")
 
 
 @query("token string, roman string")
 def romanized(spark, sf_dir):
     from kinweave.functions import unicode
 
-    return unicode.romanized_tokens(_records(spark, sf_dir).select(F.explode(text.name_tokens(F.col("name"))).alias("token")))
+    return unicode.romanized_tokens(_records(spark, sf_dir, whole=True).select(F.explode(text.name_tokens(F.concat("name", "address"))).alias("token")))
 
 
 # ---- blocking --------------------------------------------------------------------------------------------------------
@@ -242,8 +246,8 @@ def list_features(spark, sf_dir):
     return features.list_features(_scored(_pairs(spark, sf_dir)))
 
 
-def _viewed(spark, sf_dir, columns, topk=10):
-    v = _views(spark, sf_dir)
+def _viewed(spark, sf_dir, columns, topk=10, whole=False):
+    v = _views(spark, sf_dir, whole)
     c = blocking.channel_tokens(v, "all")
     return features.with_views(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), topk).select("country", "s1", "cand"), v, columns)
 
@@ -270,7 +274,7 @@ def text_set_features(spark, sf_dir):
 
 @query("s1 long, cand long, name_ratio double, name_token_set double, name_partial double, name_skel_ratio double, name_compact_partial double, addr_token_set double")
 def fuzzy_features(spark, sf_dir):
-    return features.text_fuzzy(_viewed(spark, sf_dir, ("nstr", "skstr", "compact", "astr"), 5))
+    return features.text_fuzzy(_viewed(spark, sf_dir, ("nstr", "skstr", "compact", "astr"), 5, whole=True))
 
 
 _RUNS = lambda s: f"list_distinct(flatten(list_transform({s}_atok, lambda t: regexp_extract_all(t, '[0-9]+'))))"
@@ -320,10 +324,10 @@ def ambiguity_features(spark, sf_dir):
     return features.ambiguity(_viewed(spark, sf_dir, ("core", "atok", "num")), features.name_counts(_views(spark, sf_dir)))
 
 
-def _few(spark, sf_dir):
+def _few(spark, sf_dir, whole=False):
     from kinweave.plans.staging import staged
 
-    v = _views(spark, sf_dir)
+    v = _views(spark, sf_dir, whole)
     c = blocking.channel_tokens(v, "all")
     return _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 10))), v
 
@@ -338,12 +342,12 @@ def coherence_pairs(spark, sf_dir):
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.COHERENCE))
 def coherence_features(spark, sf_dir):
-    return features.coherence(*_few(spark, sf_dir))
+    return features.coherence(*_few(spark, sf_dir, whole=True))
 
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.JOINT))
 def joint_features(spark, sf_dir):
-    return features.joint(*_few(spark, sf_dir))
+    return features.joint(*_few(spark, sf_dir, whole=True))
 
 
 # ---- truth, decisions, metrics ---------------------------------------------------------------------------------------
@@ -383,10 +387,10 @@ _F05 = """counts as (select e.code as s1, e.country, count(distinct l.cand) as p
  f as (select *, case when predicted = 0 and actual = 0 then 1.0 when hits = 0 then 0.0 else 1.25 * (hits / predicted) * (hits / actual) / (0.25 * (hits / predicted) + hits / actual) end as f05 from counts)"""
 
 
-def _decided(spark, sf_dir):
+def _decided(spark, sf_dir, whole=False):
     from kinweave.plans.staging import staged
 
-    return staged(decide.assign(_scored(_pairs(spark, sf_dir)), 0.6))
+    return staged(decide.assign(_scored(_pairs(spark, sf_dir, whole)), 0.6))
 
 
 @query("entities long, macro_f05 double", f"{_ALL}, {_LINKS}, {_F05} select count(*) as entities, avg(f05) as macro_f05 from f")
@@ -475,18 +479,18 @@ def oracle_f05(spark, sf_dir):
 
 @query("mean double, low double, high double")
 def bootstrap_interval(spark, sf_dir):
-    c = metrics.f05(metrics.entity_counts(_entities(spark, sf_dir), _decided(spark, sf_dir), _truth(spark, sf_dir)))
+    c = metrics.f05(metrics.entity_counts(_entities(spark, sf_dir), _decided(spark, sf_dir, whole=True), _truth(spark, sf_dir, whole=True)))
     return metrics.bootstrap(c.select("s1", F.col("f05").alias("delta")))
 
 
 @query("s1 long, cand long, p double")
 def best_k_decode(spark, sf_dir):
-    return decide.decode_expected(_few(spark, sf_dir)[0].select("s1", "cand", "p"), 0.1)
+    return decide.decode_expected(_few(spark, sf_dir, whole=True)[0].select("s1", "cand", "p"), 0.1)
 
 
 @query("prior double")
 def em_prior(spark, sf_dir):
-    return spark.createDataFrame([(metrics.em_prior(_few(spark, sf_dir)[0], 0.3),)], "prior double")
+    return spark.createDataFrame([(metrics.em_prior(_few(spark, sf_dir, whole=True)[0], 0.3),)], "prior double")
 
 
 # ---- lists, checks, subsets ------------------------------------------------------------------------------------------
@@ -616,10 +620,10 @@ _EXPAND_SQL = f"""with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 5)}, li
  select * from ag qualify row_number() over (partition by s1 order by min_freq, cand) <= 30"""
 
 
-def _expanded(spark, sf_dir):
+def _expanded(spark, sf_dir, whole=False):
     from kinweave.plans.staging import staged
 
-    v = _views(spark, sf_dir)
+    v = _views(spark, sf_dir, whole)
     c = blocking.channel_tokens(v, "all")
     pairs = _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 5)))
     seeds = pairs.where("p >= 0.6").select("s1", F.col("cand").alias("member"), "p")
@@ -633,7 +637,7 @@ def key_expand(spark, sf_dir):
 
 @query("s1 long, cand long, n_member_hits double, log_min_freq double, best_member_p double, ent_n_pred double, ent_pmax double, ent_psum double, is_s3 double, mem_name_max double, mem_tri_max double, mem_addr_max double, mem_conflict_min double")
 def expansion_features(spark, sf_dir):
-    found, pairs, seeds, v = _expanded(spark, sf_dir)
+    found, pairs, seeds, v = _expanded(spark, sf_dir, whole=True)
     out = expand.features(found, pairs, seeds.withColumnRenamed("member", "cand"))
     return out.join(expand.member_similarities(found, seeds, v), ["s1", "cand"])
 
@@ -650,7 +654,7 @@ def expansion_accept(spark, sf_dir):
 
 @query("s1 long, cand long, p double")
 def classifier_pairs(spark, sf_dir):
-    return models.demo(_pairs(spark, sf_dir, topk=10, name_topk=5), _truth(spark, sf_dir))
+    return models.demo(_pairs(spark, sf_dir, whole=True, topk=10, name_topk=5), _truth(spark, sf_dir, whole=True))
 
 
 _BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
@@ -661,7 +665,7 @@ def _matrix(spark, sf_dir):
     """Labelled candidate pairs with base features: the input of the learned operators."""
     from kinweave.plans.staging import staged
 
-    return staged(models.labelled(_pairs(spark, sf_dir, topk=10, name_topk=5), _truth(spark, sf_dir)))
+    return staged(models.labelled(_pairs(spark, sf_dir, whole=True, topk=10, name_topk=5), _truth(spark, sf_dir, whole=True)))
 
 
 @query("s1 long, cand long, y long, fold long, p double")
@@ -678,7 +682,7 @@ def calibrated_scores(spark, sf_dir):
 @query("s1 long, cand long, p double")
 def trained_links(spark, sf_dir):
     data = _matrix(spark, sf_dir)
-    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir), _BASE_FEATURES, context=["score", "rank"], **_SMALL)
+    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir, whole=True), _BASE_FEATURES, context=["score", "rank"], **_SMALL)
     return models.predict(bundle, data, shift=0.01)
 
 
@@ -686,15 +690,15 @@ def trained_links(spark, sf_dir):
 def second_stage_scores(spark, sf_dir):
     data = _matrix(spark, sf_dir)
     scored = models.score(models.fit(data, _BASE_FEATURES, **_SMALL), data, _BASE_FEATURES).select("s1", "cand", "p")
-    matrix, names = models.second_stage(scored, data, _views(spark, sf_dir), _BASE_FEATURES)
+    matrix, names = models.second_stage(scored, data, _views(spark, sf_dir, whole=True), _BASE_FEATURES)
     return models.score(models.fit(matrix, names, **_SMALL), matrix, names, "p2")
 
 
 @query("variant string, canonical string, score double, count long")
 def alias_bootstrap(spark, sf_dir):
     """Aliases mined from confident links of unlabelled data, added to a base lexicon."""
-    sure = _decided(spark, sf_dir).where("p >= 0.7").select("s1", "cand")
-    seqs = _records(spark, sf_dir).select("code", "source", text.name_tokens(F.col("name")).alias("name_seq"), text.tokens(F.col("address")).alias("addr_seq"))
+    sure = _decided(spark, sf_dir, whole=True).where("p >= 0.7").select("s1", "cand")
+    seqs = _records(spark, sf_dir, whole=True).select("code", "source", text.name_tokens(F.col("name")).alias("name_seq"), text.tokens(F.col("address")).alias("addr_seq"))
     return aliases.merge(_lexicons(spark)[0], aliases.mine(seqs.where("source = 1"), sure, seqs, latin_factor=1, min_count=2))
 
 
