@@ -246,10 +246,10 @@ def list_features(spark, sf_dir):
     return features.list_features(_scored(_pairs(spark, sf_dir)))
 
 
-def _viewed(spark, sf_dir, columns, topk=10, whole=False):
-    v = _views(spark, sf_dir, whole)
+def _viewed(spark, sf_dir, columns):
+    v = _views(spark, sf_dir)
     c = blocking.channel_tokens(v, "all")
-    return features.with_views(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), topk).select("country", "s1", "cand"), v, columns)
+    return features.with_views(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 10).select("country", "s1", "cand"), v, columns)
 
 
 _VIEWED = f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 10)}, pairs as (select * from b_a), {duck.VIEWED}"
@@ -274,7 +274,8 @@ def text_set_features(spark, sf_dir):
 
 @query("s1 long, cand long, name_ratio double, name_token_set double, name_partial double, name_skel_ratio double, name_compact_partial double, addr_token_set double")
 def fuzzy_features(spark, sf_dir):
-    return features.text_fuzzy(_viewed(spark, sf_dir, ("nstr", "skstr", "compact", "astr"), 5, whole=True))
+    v = _views(spark, sf_dir, whole=True)
+    return features.text_fuzzy(features.with_views(blocking.block(v).select("country", "s1", "cand"), v, ("nstr", "skstr", "compact", "astr")))
 
 
 _RUNS = lambda s: f"list_distinct(flatten(list_transform({s}_atok, lambda t: regexp_extract_all(t, '[0-9]+'))))"
@@ -324,10 +325,18 @@ def ambiguity_features(spark, sf_dir):
     return features.ambiguity(_viewed(spark, sf_dir, ("core", "atok", "num")), features.name_counts(_views(spark, sf_dir)))
 
 
-def _few(spark, sf_dir, whole=False):
+def _candidates(spark, sf_dir):
+    """The whole candidate table with p, and its views."""
     from kinweave.plans.staging import staged
 
-    v = _views(spark, sf_dir, whole)
+    v = _views(spark, sf_dir, whole=True)
+    return _scored(staged(blocking.block(v))), v
+
+
+def _few(spark, sf_dir):
+    from kinweave.plans.staging import staged
+
+    v = _views(spark, sf_dir)
     c = blocking.channel_tokens(v, "all")
     return _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 10))), v
 
@@ -342,12 +351,12 @@ def coherence_pairs(spark, sf_dir):
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.COHERENCE))
 def coherence_features(spark, sf_dir):
-    return features.coherence(*_few(spark, sf_dir, whole=True))
+    return features.coherence(*_candidates(spark, sf_dir))
 
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.JOINT))
 def joint_features(spark, sf_dir):
-    return features.joint(*_few(spark, sf_dir, whole=True))
+    return features.joint(*_candidates(spark, sf_dir))
 
 
 # ---- truth, decisions, metrics ---------------------------------------------------------------------------------------
@@ -485,12 +494,12 @@ def bootstrap_interval(spark, sf_dir):
 
 @query("s1 long, cand long, p double")
 def best_k_decode(spark, sf_dir):
-    return decide.decode_expected(_few(spark, sf_dir, whole=True)[0].select("s1", "cand", "p"), 0.1)
+    return decide.decode_expected(_candidates(spark, sf_dir)[0].select("s1", "cand", "p"), 0.1)
 
 
 @query("prior double")
 def em_prior(spark, sf_dir):
-    return spark.createDataFrame([(metrics.em_prior(_few(spark, sf_dir, whole=True)[0], 0.3),)], "prior double")
+    return spark.createDataFrame([(metrics.em_prior(_candidates(spark, sf_dir)[0], 0.3),)], "prior double")
 
 
 # ---- lists, checks, subsets ------------------------------------------------------------------------------------------
@@ -620,12 +629,13 @@ _EXPAND_SQL = f"""with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 5)}, li
  select * from ag qualify row_number() over (partition by s1 order by min_freq, cand) <= 30"""
 
 
-def _expanded(spark, sf_dir, whole=False):
+def _expanded(spark, sf_dir, pairs=None, v=None):
     from kinweave.plans.staging import staged
 
-    v = _views(spark, sf_dir, whole)
-    c = blocking.channel_tokens(v, "all")
-    pairs = _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 5)))
+    if pairs is None:
+        v = _views(spark, sf_dir)
+        c = blocking.channel_tokens(v, "all")
+        pairs = _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 5)))
     seeds = pairs.where("p >= 0.6").select("s1", F.col("cand").alias("member"), "p")
     return expand.generate(v, seeds, pairs), pairs, seeds, v
 
@@ -637,7 +647,7 @@ def key_expand(spark, sf_dir):
 
 @query("s1 long, cand long, n_member_hits double, log_min_freq double, best_member_p double, ent_n_pred double, ent_pmax double, ent_psum double, is_s3 double, mem_name_max double, mem_tri_max double, mem_addr_max double, mem_conflict_min double")
 def expansion_features(spark, sf_dir):
-    found, pairs, seeds, v = _expanded(spark, sf_dir, whole=True)
+    found, pairs, seeds, v = _expanded(spark, sf_dir, *_candidates(spark, sf_dir))
     out = expand.features(found, pairs, seeds.withColumnRenamed("member", "cand"))
     return out.join(expand.member_similarities(found, seeds, v), ["s1", "cand"])
 
@@ -654,44 +664,43 @@ def expansion_accept(spark, sf_dir):
 
 @query("s1 long, cand long, p double")
 def classifier_pairs(spark, sf_dir):
-    return models.demo(_pairs(spark, sf_dir, whole=True, topk=10, name_topk=5), _truth(spark, sf_dir, whole=True))
+    return models.demo(_pairs(spark, sf_dir, whole=True), _truth(spark, sf_dir, whole=True))
 
 
 _BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
-_SMALL = {"trees": 3, "depth": 3, "step": 0.3}
 
 
 def _matrix(spark, sf_dir):
     """Labelled candidate pairs with base features: the input of the learned operators."""
     from kinweave.plans.staging import staged
 
-    return staged(models.labelled(_pairs(spark, sf_dir, whole=True, topk=10, name_topk=5), _truth(spark, sf_dir, whole=True)))
+    return staged(models.labelled(_pairs(spark, sf_dir, whole=True), _truth(spark, sf_dir, whole=True)))
 
 
 @query("s1 long, cand long, y long, fold long, p double")
 def out_of_fold_scores(spark, sf_dir):
-    return models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES, folds=2, **_SMALL)
+    return models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES)
 
 
 @query("s1 long, cand long, p double, q double")
 def calibrated_scores(spark, sf_dir):
     data = _matrix(spark, sf_dir)
-    return models.calibrate(models.score(models.fit(data, _BASE_FEATURES, **_SMALL), data, _BASE_FEATURES))
+    return models.calibrate(models.score(models.fit(data, _BASE_FEATURES), data, _BASE_FEATURES))
 
 
 @query("s1 long, cand long, p double")
 def trained_links(spark, sf_dir):
     data = _matrix(spark, sf_dir)
-    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir, whole=True), _BASE_FEATURES, context=["score", "rank"], **_SMALL)
+    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir, whole=True), _BASE_FEATURES, context=["score", "rank"])
     return models.predict(bundle, data, shift=0.01)
 
 
 @query("s1 long, cand long, p1 double, coh_n_strong double, num_exact_shared double, p2 double")
 def second_stage_scores(spark, sf_dir):
     data = _matrix(spark, sf_dir)
-    scored = models.score(models.fit(data, _BASE_FEATURES, **_SMALL), data, _BASE_FEATURES).select("s1", "cand", "p")
+    scored = models.score(models.fit(data, _BASE_FEATURES), data, _BASE_FEATURES).select("s1", "cand", "p")
     matrix, names = models.second_stage(scored, data, _views(spark, sf_dir, whole=True), _BASE_FEATURES)
-    return models.score(models.fit(matrix, names, **_SMALL), matrix, names, "p2")
+    return models.score(models.fit(matrix, names), matrix, names, "p2")
 
 
 @query("variant string, canonical string, score double, count long")

@@ -34,3 +34,35 @@ def test_fuzzy_reads_whole_texts(spark, small):
     got = {r["cand"] % 10**9: r["addr_token_set"] for r in QUERIES["fuzzy_features"](spark, small).where("s1 = 1000000000").collect()}
     words = lambda i: " ".join(sorted(set(TEXTS[i].split(". ", 1)[1].lower().replace(".", "").split())))
     assert got[2] == 1.0 and got[1] == round(fuzzy.token_set_ratio(words(0), words(1)), 6) < 1.0
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """One entity with 30 candidates, and 40 more entities of other words with one each."""
+    path = tmp_path_factory.mktemp("wide")
+    rows = [(3, "Shared alpha words. beta gamma", "en")] + [(3 * i + 1, f"Shared alpha words. beta gamma own{i}", "en") for i in range(30)]
+    rows += [(300 + 3 * i + k, f"Firm x{i} y{i}. z{i}", "en") for i in range(40) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def candidates(spark, path):
+    from kinweave.operators import blocking
+
+    r = er_view.records(spark, path, whole=True)
+    return blocking.block(blocking.record_views(r)), er_view.true_links(r)
+
+
+@pytest.mark.parametrize("name", ["fuzzy_features", "coherence_features", "joint_features"])
+def test_features_of_all_candidates(spark, wide, name):
+    got = [(r["s1"], r["cand"]) for r in QUERIES[name](spark, wide).collect()]
+    assert sum(s1 == 1000000003 for s1, _ in got) == 30
+    assert sorted(got) == sorted((r["s1"], r["cand"]) for r in candidates(spark, wide)[0].collect())
+
+
+def test_demo_scores_both_halves(spark, wide):
+    from kinweave.operators import models
+
+    pairs, truth = candidates(spark, wide)
+    got = [(r["s1"], r["cand"]) for r in models.demo(pairs, truth, trees=2, depth=2).collect()]
+    assert sorted(got) == sorted((r["s1"], r["cand"]) for r in pairs.collect())
