@@ -38,7 +38,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 #: Elements that are never part of the main text.
 DROP = frozenset("head nav footer aside form script style noscript template iframe button select option textarea input svg math object embed canvas audio video map dialog menu title noembed noframes xmp label fieldset".split())
-#: Words of classes, ids and roles of what isn't main text.
+#: Of these, and of DROP_WORDS, only what holds neither an article nor most of a page that has none elsewhere is dropped.
+SOFT = frozenset(["form", "header"])
+#: Whole classes, ids and roles of what isn't main text.
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts "
     "sidebar sidebars menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer foot header masthead topbar comment comments commentlist disqus respond replies reply "
@@ -69,25 +71,28 @@ class Element:
     path: str
     dropped: bool
     weight: float
+    soft: bool = False
+    marked: bool = False
     text: float = 0.0
     links: float = 0.0
     own: list[int] = field(default_factory=list)
 
 
-def _attributes(raw: str) -> tuple[str, list[str], bool]:
-    """The generalised class, the words of class, id and role, and whether the element is hidden."""
+def _attributes(raw: str) -> tuple[str, list[str], list[str], bool]:
+    """The generalised class, the words and the whole tokens of class, id and role, and whether the element is hidden."""
     if not raw or "=" not in raw and "hidden" not in raw.lower():
-        return "", [], False
-    label, words, hidden = "", [], False
+        return "", [], [], False
+    label, words, tokens, hidden = "", [], [], False
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
         elif name in ("class", "id", "role"):
             words += _WORDS.findall(value)
+            tokens += value.split()
             if name == "class":
                 label = _DIGITS.sub("#", " ".join(sorted(value.split())[:3]))
-    return label, words, hidden
+    return label, words, tokens, hidden
 
 
 class Page:
@@ -96,6 +101,7 @@ class Page:
     def __init__(self, source: str):
         self.elements = [Element("", -1, "", False, 1.0)]
         self.blocks: list[tuple[int, int, list[str]]] = []  # element, characters in links, parts
+        self.goes_on: list[bool] = []  # of each block: whether no block element began or ended before it
         stack = [0]
         fresh, link, at, n = True, 0, 0, len(source)
         last_end = source.rfind(">")  # no tag starts after it
@@ -111,6 +117,7 @@ class Page:
                 box = self._box(top)
                 if fresh or self.blocks[-1][0] != box:
                     self.blocks.append((box, 0, []))
+                    self.goes_on.append(not fresh)
                 fresh = False
             box, chars, parts = self.blocks[-1]
             decoded = html.unescape(raw) if "&" in raw else raw
@@ -166,6 +173,7 @@ class Page:
                     text(source[at : close.start() if close else n])
                 stack.pop()
                 at = close.end() if close else n
+        self._settle()
         self._score()
 
     def _imply(self, stack: list[int], tag: str) -> None:
@@ -196,27 +204,59 @@ class Page:
         return 0
 
     def _open(self, stack: list[int], tag: str, raw: str) -> bool:
-        """Whether the element is dropped."""
+        """Whether the element is dropped whatever it holds; _settle() sees to soft ones."""
         above = self.elements[stack[-1]]
-        label, words, hidden = _attributes(raw) if tag in BLOCK or tag not in ("a", "b", "i", "em", "strong", "span") or "class" in raw or "hidden" in raw or "style" in raw else ("", [], False)
-        dropped = above.dropped or hidden or tag in DROP
+        label, words, tokens, hidden = _attributes(raw) if tag in BLOCK or tag not in ("a", "b", "i", "em", "strong", "span") or "class" in raw or "hidden" in raw or "style" in raw else ("", [], [], False)
+        dropped = above.dropped or hidden or tag in DROP and tag not in SOFT
+        soft, marked = False, not DROP_WORDS.isdisjoint(tokens)
         if not dropped and tag not in ("html", "body"):
             in_main = any(self.elements[i].tag in ("article", "main") for i in stack)
-            dropped = tag == "header" and not in_main or not DROP_WORDS.isdisjoint(words) and not (tag in ("article", "main") or MAIN_WORDS.intersection(words) and not {"ad", "ads", "comment", "comments"}.intersection(words) and tag not in ("header", "span", "a", "p"))
+            soft = tag == "form" or tag == "header" and not in_main or marked and not (tag in ("article", "main") or MAIN_WORDS.intersection(words) and not {"ad", "ads", "comment", "comments"}.intersection(words) and tag not in ("header", "span", "a", "p"))
         path, weight = above.path, above.weight
         if tag in CONTAINER:
             path = f"{above.path}/{tag}" + f".{label.replace(' ', '.')}" * bool(label)
             weight = 2.0 if tag in ("article", "main") else 1.3 if MAIN_WORDS.intersection(words) else 1.0
-        self.elements.append(Element(tag, stack[-1], path[:MAX_PATH], dropped, weight))
+        self.elements.append(Element(tag, stack[-1], path[:MAX_PATH], dropped, weight, soft, marked))
         stack.append(len(self.elements) - 1)
         return dropped
 
     def _box(self, i: int) -> int:
-        """The nearest block element at or above i."""
-        while i and self.elements[i].tag not in BLOCK:
+        """The nearest block element, or soft one, at or above i."""
+        while i and self.elements[i].tag not in BLOCK and not self.elements[i].soft:
             i = self.elements[i].parent
         return i
 
+    def _settle(self) -> None:
+        """Drop the soft elements, but none that holds an article or, where none is elsewhere, most of the text."""
+        es = self.elements
+        if not any(e.soft for e in es):
+            return
+        size, articles = [0] * len(es), [0] * len(es)
+        for i, _, parts in self.blocks:
+            size[i] += len(" ".join("".join(parts).split()))
+        for i in range(len(es) - 1, 0, -1):
+            articles[i] += es[i].tag in ("article", "main") and not es[i].marked and not es[i].dropped and size[i] > 0
+            size[es[i].parent] += size[i]
+            articles[es[i].parent] += articles[i]
+        gone = [False] * len(es)
+        for i, e in enumerate(es[1:], 1):
+            kept = articles[i] or not articles[0] and 2 * size[i] > size[0]
+            gone[i] = gone[e.parent] or e.soft and not kept
+        if self.blocks and all(gone[i] for i, _, _ in self.blocks):
+            return  # nothing would be left
+        for e, g in zip(es, gone, strict=True):
+            e.dropped = e.dropped or g
+        old, self.blocks = self.blocks, []
+        begins = True
+        for (i, links, parts), more in zip(old, self.goes_on, strict=True):
+            begins = begins or not more
+            if gone[i]:
+                continue
+            if not begins and self.blocks[-1][0] == i:  # what stood between was dropped
+                links, parts = self.blocks[-1][1] + links, self.blocks.pop()[2] + parts
+            self.blocks.append((i, links, parts))
+            begins = False
+
     def _score(self) -> None:
         """Text that isn't in links, summed upwards."""
         for k, (i, links, parts) in enumerate(self.blocks):
