@@ -1,13 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
-Each page's containers are scored; the best one votes with its generalised path (tags and classes from the root, runs of
-digits as one sign). Spark counts the votes of each host, and every page is extracted again from the elements on its
+Each page's containers are scored; the best one votes with a hash of its generalised path (tags and all classes from the
+root, runs of digits as one sign). Spark counts the votes of each host, and every page is extracted again from the elements on its
 host's winning path. A page without such an element, or whose element has no text, uses its own best container.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import re
 from collections import Counter
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import map_arrow
 
-#: Hosts up to which the winning paths are broadcast (under 64 MB, as a path has at most MAX_PATH characters).
-BROADCAST_HOSTS, MAX_PATH = 100_000, 300
+#: Hosts up to which the winning paths are broadcast (under 64 MB, as a path is a hash of 16 bytes in hexadecimal).
+BROADCAST_HOSTS = 100_000
 #: Votes that a task sums before it passes them on.
 VOTES = 100_000
 
@@ -91,10 +92,16 @@ def _attributes(raw: str) -> tuple[str, list[str], list[str], bool]:
             words += _WORDS.findall(value)
             tokens += value.split()
             if name == "class":
-                label = _DIGITS.sub("#", " ".join(sorted(value.split())[:3]))
+                label = _DIGITS.sub("#", " ".join(sorted(value.split())))
     return label, words, tokens, hidden
 
 
+@functools.lru_cache(100_000)
+def _below(path: str, step: str) -> str:
+    """The hash of a path by that of the path above it."""
+    return hashlib.blake2b(f"{path}/{step}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 class Page:
     """Elements and blocks of text of a page; tolerant of ends that are missing, doubled or out of order."""
 
@@ -214,9 +221,9 @@ class Page:
             soft = tag == "form" or tag == "header" and not in_main or marked and not (tag in ("article", "main") or MAIN_WORDS.intersection(words) and not {"ad", "ads", "comment", "comments"}.intersection(words) and tag not in ("header", "span", "a", "p"))
         path, weight = above.path, above.weight
         if tag in CONTAINER:
-            path = f"{above.path}/{tag}" + f".{label.replace(' ', '.')}" * bool(label)
+            path = _below(above.path, tag + f".{label.replace(' ', '.')}" * bool(label))
             weight = 2.0 if tag in ("article", "main") else 1.3 if MAIN_WORDS.intersection(words) else 1.0
-        self.elements.append(Element(tag, stack[-1], path[:MAX_PATH], dropped, weight, soft, marked))
+        self.elements.append(Element(tag, stack[-1], path, dropped, weight, soft, marked))
         stack.append(len(self.elements) - 1)
         return dropped
 
