@@ -8,7 +8,7 @@ anchor and validate what they find. Four base kinds have fixed grammars, leftmos
     card   [0-9]([\\x20-]?[0-9])+                         14 to 19 digits that pass the Luhn test
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                    10 to 15 digits
 
-Three more kinds come from cues: `secret` (a quoted or bare token after a cue such as `token =`), `account` (an IBAN that
+Three more kinds come from cues: `secret` (a quoted or bare token of any length after a cue such as `token =` or `"token":`), `account` (an IBAN that
 passes its check, or digits after a cue such as `account`) and `login` (user information in an address with a scheme).
 Offsets are code points, ends exclusive.
 """
@@ -41,18 +41,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SECRET = re.compile(r"[ \t]{0,4}[:=][ \t]{0,4}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([A-Za-z0-9_\-./+]{16,512}))")
-_ACCOUNT = re.compile(r"[ \t:=#.]{1,8}(?:(?:no|nr|number|num)\b[ \t:=#.]{0,8})?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])|[0-9](?:[ -]?[0-9]){5,33}(?![A-Za-z0-9]))", re.IGNORECASE)
-_LOGIN = re.compile(r"([^\s/?#@:\"'<>]{1,256}:[^\s/?#@\"'<>]{1,256})@[A-Za-z0-9-]")
+_SECRET = re.compile(r"[\"']?[ \t]{0,4}[:=][ \t]{0,4}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'|([A-Za-z0-9_\-./+]{16,}+))")
+_ACCOUNT = re.compile(r"[\"']?[ \t:=#.]{1,8}[\"']?(?:(?:no|nr|number|num)\b[ \t:=#.]{0,8})?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])|[0-9](?:[ -]?[0-9]){5,33}(?![A-Za-z0-9]))", re.IGNORECASE)
+_LOGIN = re.compile(r"([^\s/?#@:\"'<>]++:[^\s/?#@\"'<>]++)@[A-Za-z0-9-]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+#: Keeps offsets, as each letter stays one code point.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchors in lower case, in capitals, and with a capital first."""
+    """Anchors in lower case, for texts whose ASCII letters are lower-cased."""
     a = ahocorasick.Automaton()
     for word, kind in [("@", "email"), ("+", "phone"), *((w, k) for k, words in CUES.items() for w in words)]:
-        for form in {word, word.upper(), word.capitalize()}:
-            a.add_word(form, kind)
+        a.add_word(word, kind)
     a.make_automaton()
     return a
 
@@ -112,7 +113,7 @@ def scan(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
     if not text:
         return {k: [] for k in KINDS}
     at: dict[str, list[int]] = {k: [] for k in KINDS}
-    for last, kind in anchors.iter(text):
+    for last, kind in anchors.iter(text.translate(_LOWER)):
         at[kind].append(last)
     found = {
         "email": _emails(text, at["email"]),
