@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds at-signs, plus signs, schemes and identifier cues in one pass; local parsers expand each
-anchor and validate what they find; `ip` and `card` have no anchor and are scanned for plainly. Four base kinds have fixed grammars, leftmost and without overlap within a kind:
+anchor and validate what they find. `ip` and `card` have no anchor: their patterns are scanned for over the whole text. Four
+base kinds have fixed grammars, leftmost and without overlap within a kind:
 
     email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
     ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)        parts at most 255
