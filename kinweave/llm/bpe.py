@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kinweave.llm.common import id_text, map_arrow
+from kinweave.llm.common import id_text, map_arrow, slices
 
 NONE = np.int32(2**31 - 1)
 #: The letters, numbers and white space below U+0250, where `re` with these classes splits as `regex` does, but faster.
@@ -28,7 +28,7 @@ FURTHER = re.compile("[^\x00-ɏ]").search
 #: Bytes from which a piece goes through the heap.
 LONG_PIECE = 256
 #: Pieces whose ids a task remembers.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 60_000
 #: Cells of one matrix at most.
 CELLS = 1 << 18
 
@@ -194,12 +194,11 @@ def encode(documents: DataFrame, tokenizer: str, pattern: str, id_col: str = "do
         codec = Codec(parse_ranks(sent.value), pattern)
 
         def step(batch):
-            ids, texts = batch.column(0), batch.column(1)
-            for i in range(0, len(texts), 256):
-                coded = codec.encode(texts[i : i + 256].to_pylist())
+            for part in slices(batch, 1):
+                coded = codec.encode(part.column(1).to_pylist())
                 text_of = codec.text_of
                 cols = [
-                    ids[i : i + 256],
+                    part.column(0),
                     pa.array([len(x) for x in coded], pa.int64()),
                     pa.array([hashlib.sha256(",".join([text_of[t] for t in x]).encode()).hexdigest() for x in coded]),
                     pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in coded]),

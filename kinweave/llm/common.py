@@ -28,7 +28,7 @@ _shipped: set[str] = set()
 
 
 #: Rows and bytes of an Arrow batch at most, which bounds what a task holds of long texts in the JVM and in Python.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def ship(spark: SparkSession) -> None:
@@ -106,6 +106,15 @@ def row_chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most `rows` rows and `limit` bytes in the column at `text`, or of one row."""
+    column = batch.column(text).cast(pa.large_string())
+    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :]
+    for i, j in row_chunks(off, limit):
+        for k in range(i, j, rows):
+            yield batch.slice(k, min(rows, j - k))
+
+
 def mod_crc(id_col: str, by: int):
     """crc32 of the id as text, modulo `by`; null where the id is."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by

@@ -1,6 +1,6 @@
 """Benchmark decontamination through an FM-index of each shard of the documents.
 
-A shard is one Arrow batch of documents. Words that no benchmark text has cannot be part of a match, so the index covers
+A shard is a run of documents of about SHARD_BYTES. Words that no benchmark text has cannot be part of a match, so the index covers
 the runs of other words, as numbers, each run ended by a mark. Test phrases (windows of `window` consecutive words, or
 all words of a shorter text) are searched backwards, all at once, with ranks from a wavelet tree of the
 Burrows-Wheeler transform; occurrences are located by walking to the nearest sampled suffix position; what they cover is
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_arrow
+from kinweave.llm.common import id_text, map_arrow, slices, word_hashes
 
 #: Suffix positions that are multiples of this are kept.
 SAMPLE = 8
+#: Rows and bytes of a shard at most, or one row; phrases that are searched for at once.
+SHARD_ROWS, SHARD_BYTES, PHRASES = 2000, 1 << 20, 1 << 16
 #: Words are runs of these bytes once A-Z are lower-cased: digits, a-z and whatever is not ASCII.
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -116,78 +118,146 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark texts, as numbers, with the items that have them."""
+    """The windows of a block of benchmark texts, as places in one array of word numbers, with the items that have them.
+
+    A window takes under 50 bytes here: its words are gathered from the array when it is searched for.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of((text or "").encode())]
-            for i in range(max(len(ids) - window, 0) + 1 if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.names = sorted({x for s in found.values() for x in s})
+        texts = [(text or "").encode() for _, text in items]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        hashes, counts = word_hashes(np.frombuffer(b"".join(texts), np.uint8), off, ~_WORD)
+        self.vocabulary, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.tokens = (number + 1).astype(np.int32)
+        words = [w for t in texts for w in words_of(t)]
+        own = [words[i] for i in first.tolist()]
+        self.word_bytes, self.word_off = b"".join(own), np.concatenate([[0], np.cumsum([len(w) for w in own])]).astype(np.int64)
+        self.names = sorted({item for (item, _), c in zip(items, counts.tolist(), strict=True) if c})
         at = {x: i for i, x in enumerate(self.names)}
-        self.groups = []  # (length, phrases in a matrix, borders of their items, their items)
-        for length in sorted({len(p) for p in found}):
-            own = sorted(p for p in found if len(p) == length)
-            lists = [sorted(at[x] for x in found[p]) for p in own]
-            self.groups.append((length, np.array(own, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.array([x for y in lists for x in y], np.int64)))
+        item_of = np.array([at.get(item, -1) for item, _ in items], np.int64)
+        begin = np.cumsum(counts) - counts
+        length = np.minimum(counts, window)
+        each = np.where(counts > 0, counts - length + 1, 0)  # windows of each text
+        start = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin, each)
+        of, size = np.repeat(item_of, each), np.repeat(length, each)
+        self.groups = []  # (length, starts of distinct phrases, borders of their items, their items)
+        for n in np.unique(size).tolist():
+            mine = size == n
+            places, owners = start[mine], of[mine]
+            rank = self._same(places, n)
+            pairs = np.unique(rank * np.int64(max(1, len(self.names))) + owners)
+            phrase, member = pairs // max(1, len(self.names)), pairs % max(1, len(self.names))
+            k = int(rank.max()) + 1
+            one = np.zeros(k, np.int32)
+            one[rank] = places
+            self.groups.append((n, one, np.searchsorted(phrase, np.arange(k + 1)).astype(np.int32), member.astype(np.int32)))
         self.least = self.groups[0][0] if self.groups else 0
 
+    def _same(self, places: np.ndarray, n: int) -> np.ndarray:
+        """A number for each phrase that starts at a place, the same for equal phrases: ranks of halves, joined."""
+        rank = self.tokens[places].astype(np.int64)
+        for k in range(1, n):
+            key = rank * np.int64(len(self.vocabulary) + 1) + self.tokens[places + k]
+            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        return np.unique(rank, return_inverse=True)[1] if n == 1 else rank
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, 0 for a word that no text of the block has."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+    def word(self, number: int) -> bytes:
+        return self.word_bytes[self.word_off[number - 1] : self.word_off[number]]
+
+
+def _runs(ids: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of known words within a text that are long enough for a phrase."""
+    known = ids > 0
+    new = np.ones(len(ids), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    first = known.copy()
+    first[1:] &= ~known[:-1] | new[1:]
+    last = known.copy()
+    last[:-1] &= ~known[1:] | new[1:]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    long = b - a >= least
+    return a[long], b[long]
+
+
+def _found(ids: np.ndarray, doc: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word lies in an occurrence of a phrase, and the distinct pairs doc * number of names + item."""
+    hit, none = np.zeros(len(ids), bool), np.zeros(0, np.int64)
+    a, b = _runs(ids, doc, phrases.least)
+    if not len(a):
+        return hit, none
+    lengths = b - a + 1
+    starts = np.cumsum(lengths) - lengths
+    source = np.arange(int(lengths.sum())) - np.repeat(starts - a, lengths)  # the word that each symbol stands for
+    symbols = ids[np.minimum(source, len(ids) - 1)]
+    symbols[starts + lengths - 1] = 0
+    index = FMIndex(symbols, len(phrases.vocabulary) + 1)
+    here = np.bincount(symbols, minlength=len(phrases.vocabulary) + 1) > 0
+    cover = np.zeros(len(symbols) + 1, np.int64)
+    pairs, names = [none], len(phrases.names)
+    for length, places, borders, members in phrases.groups:
+        for k in range(0, len(places), PHRASES):
+            which = np.arange(k, min(len(places), k + PHRASES))
+            for j in range(length):  # phrases with a word that the shard lacks need no search
+                which = which[here[phrases.tokens[places[which] + j]]]
+            if not len(which):
+                continue
+            low, high = index.search(phrases.tokens[places[which][:, None] + np.arange(length)].astype(np.int64))
+            times = high - low
+            which = np.repeat(which, times)
+            if not len(which):
+                continue
+            at = index.locate(np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times))
+            cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + length, minlength=len(cover))
+            both = np.unique(doc[source[at]] * np.int64(len(places)) + which)
+            of, which = both // len(places), both % len(places)
+            own = (borders[which + 1] - borders[which]).astype(np.int64)
+            member = members[np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(borders[which], own)]
+            pairs.append(np.unique(np.repeat(of, own) * np.int64(names) + member))
+    covered = np.cumsum(cover[:-1]) > 0
+    hit[source[covered]] = True
+    return hit, np.unique(np.concatenate(pairs))
+
 
 def search_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
-    """For each text: its number of words, the merged spans of words that phrases cover, the items found."""
+    """For each text: its number of words, the merged spans of words that phrases cover, the items found.
+
+    Words are compared by 64-bit hashes; those within a match are then compared themselves, so that the result is exact.
+    """
     n = len(texts)
-    counts, spans, items = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)]
-    runs, run_doc, run_at = [], [], []
-    get = phrases.number.get
-    for d, text in enumerate(texts):
-        words = words_of(text)
-        counts[d] = len(words)
-        if not phrases.groups or len(words) < phrases.least:
-            continue
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        gaps = np.flatnonzero(ids == 0)
-        a, b = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(ids)]])
-        for s, e in zip(*(x[b - a >= phrases.least].tolist() for x in (a, b)), strict=True):
-            runs.append(ids[s:e])
-            run_doc.append(d)
-            run_at.append(s)
-    if not runs:
-        return counts, spans, items
-    lengths = np.array([len(r) + 1 for r in runs])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    symbols = np.zeros(int(lengths.sum()), np.int64)
-    for s, r in zip(starts.tolist(), runs, strict=True):
-        symbols[s : s + len(r)] = r
-    index = FMIndex(symbols, len(phrases.number) + 1)
-    cover = np.zeros(len(symbols) + 1, np.int64)
-    pairs = []
-    for length, matrix, borders, members in phrases.groups:
-        low, high = index.search(matrix)
-        times = high - low
-        which = np.repeat(np.arange(len(matrix)), times)
-        if not len(which):
-            continue
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-        at = index.locate(rows)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + length, -1)
-        doc = np.array(run_doc)[np.searchsorted(starts, at, "right") - 1]
-        hit = np.unique(doc * np.int64(len(matrix)) + which)
-        doc, which = hit // len(matrix), hit % len(matrix)
-        own = borders[which + 1] - borders[which]
-        member = members[np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(borders[which], own)]
-        pairs.append(np.unique(np.repeat(doc, own) * np.int64(len(phrases.names)) + member))
-    if pairs:
-        for x in np.unique(np.concatenate(pairs)).tolist():
-            items[x // len(phrases.names)].append(phrases.names[x % len(phrases.names)])
-        covered = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
-        edge = np.flatnonzero(covered[1:] != covered[:-1])
-        for s, e in edge.reshape(-1, 2).tolist():
-            r = int(np.searchsorted(starts, s, "right")) - 1
-            spans[run_doc[r]].append((run_at[r] + s - int(starts[r]), run_at[r] + e - int(starts[r])))
-    return counts, spans, items
+    spans, items = [[] for _ in range(n)], [[] for _ in range(n)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    hashes, counts = word_hashes(np.frombuffer(b"".join(texts), np.uint8), off, ~_WORD)
+    doc = np.repeat(np.arange(n), counts)
+    if not phrases.groups or not len(hashes):
+        return counts.tolist(), spans, items
+    ids = phrases.numbers(hashes)
+    begin = np.cumsum(counts) - counts
+    while True:
+        hit, pairs = _found(ids, doc, phrases)
+        wrong = []
+        for d in np.unique(doc[hit]).tolist():
+            words, a = words_of(texts[d]), int(begin[d])
+            wrong += [a + i for i in np.flatnonzero(hit[a : a + len(words)]).tolist() if words[i] != phrases.word(int(ids[a + i]))]
+        if not wrong:
+            break
+        ids[wrong] = 0  # another word of the same hash
+    for x in pairs.tolist():
+        items[x // len(phrases.names)].append(phrases.names[x % len(phrases.names)])
+    first = hit.copy()
+    first[1:] &= ~hit[:-1] | (doc[1:] != doc[:-1])
+    last = hit.copy()
+    last[:-1] &= ~hit[1:] | (doc[1:] != doc[:-1])
+    for s, e in zip(np.flatnonzero(first).tolist(), (np.flatnonzero(last) + 1).tolist(), strict=True):
+        d = int(doc[s])
+        spans[d].append((s - int(begin[d]), e - int(begin[d])))
+    return counts.tolist(), spans, items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,79 +281,92 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
+    """Broadcast phrases of the benchmark, which is read once; the driver holds one partition and one block at a time."""
+    sc = benchmark.sparkSession.sparkContext
     known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item is not null")
-    total = known.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    n = int(total) // block_bytes + 1
-    return [known if n == 1 else known.where(F.expr(f"pmod(xxhash64(item), {n}) = {b}")) for b in range(n)]
+    out, block, size = [], [], 0
+    for row in known.toLocalIterator():
+        block.append((row["item"], row["text"]))
+        size += len(row["text"]) + 16
+        if size >= block_bytes:
+            out.append(sc.broadcast(Phrases(block, window)))
+            block, size = [], 0
+    return [*out, sc.broadcast(Phrases(block, window))] if block or not out else out
+
+
+def _searcher(blocks: list):
+    """Search of a shard in every block; of several blocks a task has one in memory at a time."""
+    kept = blocks[0].value if len(blocks) == 1 else None
+
+    def search(texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+        if kept is not None:
+            return search_shard(texts, kept)
+        counts, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+        for b in blocks:
+            counts, more, new = search_shard(texts, b.value)
+            b.__dict__.pop("_value", None)  # read again from its file for the next shard
+            spans = [merged(x + y) for x, y in zip(spans, more, strict=True)]
+            for x, y in zip(items, new, strict=True):
+                x.update(y)
+        return counts, spans, [sorted(x) for x in items]
+
+    return search
 
 
 def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """id, n_words, spans (array of start and end in words, end exclusive) and items (sorted) of every document.
 
-    The benchmark goes to the executors in blocks of about `block_bytes` of text; each block is one pass over the documents within the same stage,
-    so a larger benchmark needs more passes, not more memory. Documents and items without words match nothing; null is
-    empty; items of null id are ignored; the rows of a repeated item_id make one item.
+    The benchmark goes to the executors in blocks of about `block_bytes` of text; every shard is searched for one block
+    after another in the same task, so a larger benchmark needs more time, not more memory. Documents and items without
+    words match nothing; null is empty; items of null id are ignored; the rows of a repeated item_id make one item.
     """
-    base = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _searched(base, benchmark, item_col, item_text_col, window, block_bytes).select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    base = id_text(documents, id_col, text_col)
+    kind = documents.schema[id_col].dataType.simpleString()
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    def make():
+        search = _searcher(blocks)
 
-def _searched(base: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """base, which has the text without nulls as `text`, with n_words, spans and items behind its columns."""
-    spark = base.sparkSession
-    out = base.selectExpr("*", "0L as n_words", "cast(array() as array<struct<start:int,end:int>>) as spans", "cast(array() as array<string>) as items")
-    schema = out.schema
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-
-        def make(sent=sent):
-            phrases = Phrases(sent.value, window)
-
-            def step(batch):
-                names = batch.schema.names
-                texts = [x.encode() for x in batch.column(names.index("text")).to_pylist()]
-                counts, spans, items = search_shard(texts, phrases)
-                old = [[(x["start"], x["end"]) for x in y] for y in batch.column(names.index("spans")).to_pylist()]
-                new = {
-                    "n_words": pa.array(counts, pa.int64()),
-                    "spans": pa.array([[{"start": s, "end": e} for s, e in merged(a + b)] for a, b in zip(old, spans, strict=True)], span_type),
-                    "items": pa.array([sorted({*a, *b}) for a, b in zip(batch.column(names.index("items")).to_pylist(), items, strict=True)], pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names)
-
-            return step
-
-        out = map_arrow(out, make, schema)
-    return out
+        def step(batch):
+            for part in slices(batch, 1, SHARD_ROWS, SHARD_BYTES):
+                counts, spans, items = search([x.encode() for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(counts, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span_type),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                ], ["id", "n_words", "spans", "items"])
+
+        return step
+
+    return map_arrow(base, make, f"id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>").withColumnRenamed("id", id_col)
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """documents with the benchmark passages cut out of their texts; texts of which no word is left go.
 
-    Documents without a passage stay as they are, empty and null ones too.
+    Documents without a passage stay as they are, empty and null ones too. Search and cut are one step of a task.
     """
     names = [f"c{i}" for i in range(len(documents.columns))]
-    at = names[documents.columns.index(text_col)]
-    base = documents.toDF(*names).withColumn("text", F.coalesce(at, F.lit("")))
-    found = _searched(base, benchmark, item_col, item_text_col, window, block_bytes)
+    i = documents.columns.index(text_col)
+    base = documents.toDF(*names)
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
 
     def make():
+        search = _searcher(blocks)
+
         def step(batch):
-            spans = batch.column(batch.schema.names.index("spans")).to_pylist()
-            i, text, keep = batch.schema.names.index(at), batch.column(batch.schema.names.index("text")), []
-            old, new = batch.column(i), []
-            for j, s in enumerate(spans):
-                t = without(text[j].as_py().encode(), [(x["start"], x["end"]) for x in s]) if s else None
-                keep.append(t is None or bool(words_of(t)))
-                new.append(old[j].as_py() if t is None else t.decode())
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([(pa.array(new, pa.string()) if k == i else batch.column(k)).filter(keep) for k in range(len(names))], names)
+            for part in slices(batch, i, SHARD_ROWS, SHARD_BYTES):
+                old = part.column(i).to_pylist()
+                raw = [(x or "").encode() for x in old]
+                spans = search(raw)[1]
+                new = [without(r, s).decode() if s else t for t, r, s in zip(old, raw, spans, strict=True)]
+                keep = pa.array([not s or bool(words_of(t.encode())) for t, s in zip(new, spans, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([(pa.array(new, pa.string()) if k == i else c).filter(keep) for k, c in enumerate(part.columns)], names)
 
         return step
 
-    return map_arrow(found, make, base.select(*names).schema).toDF(*documents.columns)
+    return map_arrow(base, make, base.schema).toDF(*documents.columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

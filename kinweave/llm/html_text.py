@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_arrow
+from kinweave.llm.common import map_arrow, slices
 
 #: Hosts up to which the winning paths are broadcast (under 64 MB, as a path is a hash of 16 bytes in hexadecimal).
 BROADCAST_HOSTS = 100_000
@@ -327,10 +327,11 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     def make():
         def step(batch):
             votes = Counter()
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(source)
-                if page.blocks:
-                    votes[host, page.path(page.best())] += 1
+            for part in slices(batch, 1):
+                for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    page = Page(source)
+                    if page.blocks:
+                        votes[host, page.path(page.best())] += 1
                 if len(votes) >= VOTES:
                     yield packed(votes)
                     votes.clear()
@@ -362,8 +363,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def make():
         def step(batch):
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 2):
                 texts = [extract_page(s, p) for s, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinweave.llm.common import id_text, map_arrow
+from kinweave.llm.common import id_text, map_arrow, slices
 
 RATE = 16_000
 #: Resampling factor UP / DOWN, and filter taps for each phase.
@@ -157,8 +157,8 @@ def describe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def make():
         def step(batch):
-            for i in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(i, 256), []
+            for part in slices(batch, 1):
+                rows = []
                 for text in part.column(1):
                     raw = text.as_py().encode()
                     media = to_wave(payload(raw))

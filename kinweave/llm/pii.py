@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import id_text, map_arrow
+from kinweave.llm.common import id_text, map_arrow, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "account", "login")
@@ -163,8 +163,7 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         anchors = automaton()
 
         def step(batch):
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 1):
                 texts = part.column(1).to_pylist()
                 found = [scan(t, anchors) for t in texts]
                 cols = [part.column(0), *(pa.array([len(f[k]) for f in found], pa.int64()) for k in BASE)]
@@ -188,8 +187,7 @@ def mask(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
         def step(batch):
             i = batch.schema.names.index("t")
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in slices(batch, i):
                 new = pa.array([None if t is None else masked(t, scan(t, anchors)) for t in part.column(i).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([new if j == i else c for j, c in enumerate(part.columns)], part.schema.names)
 
