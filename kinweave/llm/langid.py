@@ -13,12 +13,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import buffers, id_text, map_arrow, row_chunks
+from kinweave.llm.common import CHUNK_BYTES, buffers, id_text, map_arrow, row_chunks
 
 BITS = 16
 BINS = 1 << BITS
-#: Languages at most, which bounds the model that goes to the executors at 64 MB.
-MAX_LANGUAGES = 256
+#: Languages of a block of the model (a quarter of a MB each). A task keeps one block in memory; of more blocks it reads one
+#: after another, for the bins of a few documents at a time.
+BLOCK_LANGUAGES = 128
+#: Cells (bins of a run of documents x languages) that inference works on at once, or those of one document.
+CELLS = 1 << 22
 #: Added to every count.
 SMOOTH = 0.1
 ROUNDS = 12
@@ -47,36 +50,43 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def train(documents: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities (languages x BINS), from all rows of a non-null language.
 
-    Each task sums its counts for each language, Spark sums those; the driver gets at most MAX_LANGUAGES * BINS sums.
+    Each task sums its counts for each language, Spark sums those; the driver gets at most languages * BINS sums.
     """
     known = documents.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = sorted(r[0] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    names = sorted(r[0] for r in known.select("lang").distinct().collect())
     if not names:
-        return [], np.zeros((0, BINS))
+        return [], np.zeros((0, BINS), np.float32)
     number = {x: i for i, x in enumerate(names)}
 
     def count(batches):
-        total = np.zeros(len(names) * BINS, np.int64)
+        def packed(at, n):
+            for k in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(n[k : k + 50_000])], ["at", "n"])
+
+        dense = len(names) <= BLOCK_LANGUAGES
+        total = np.zeros(len(names) * BINS if dense else 0, np.int64)
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             data, off = buffers(batch.column(1))
             for i, j in row_chunks(off):
                 bins, doc = trigrams(data, off[i : j + 1])
-                total += np.bincount(lang[i:j][doc] * BINS + bins, minlength=len(total))
+                key = lang[i:j][doc] * BINS + bins
+                if dense:
+                    total += np.bincount(key, minlength=len(total))
+                else:
+                    yield from packed(*np.unique(key, return_counts=True))
         at = np.flatnonzero(total)
-        for k in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(total[at[k : k + 50_000]])], ["at", "n"])
+        yield from packed(at, total[at])
 
     from kinweave.llm.common import ship
 
     ship(documents.sparkSession)
     sums = known.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full(len(names) * BINS, SMOOTH)
-    table[sums["at"].to_numpy(np.int64)] += sums["n"].to_numpy(np.float64)
+    table = np.full(len(names) * BINS, SMOOTH, np.float32)
+    table[sums["at"].to_numpy(np.int64)] += sums["n"].to_numpy(np.float32)
     table = table.reshape(len(names), BINS)
-    return names, np.log(table / table.sum(axis=1, keepdims=True))
+    np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64), out=table, casting="same_kind")
+    return names, table
 
 
 def _em(p: np.ndarray, times: np.ndarray, starts: np.ndarray, doc: np.ndarray, total: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +99,12 @@ def _em(p: np.ndarray, times: np.ndarray, starts: np.ndarray, doc: np.ndarray, t
     return pi, np.add.reduceat(times * np.log(mix), starts)
 
 
-def infer(bins: np.ndarray, doc: np.ndarray, n_docs: int, log_p: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document: the main language (-1: no trigram), the proportions of all, the chosen set (as booleans)."""
-    k = len(log_p)
+def infer(bins: np.ndarray, doc: np.ndarray, n_docs: int, k: int, columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document: the main language (-1: no trigram), the proportions of all, the chosen set (as booleans).
+
+    columns(bins): log-probabilities of the k languages (languages x bins). Where one language is chosen, the proportions
+    are those of the mixture of all.
+    """
     best, share, chosen = np.full(n_docs, -1), np.zeros((n_docs, k)), np.zeros((n_docs, k), bool)
     if not len(bins) or not k:
         return best, share, chosen
@@ -102,8 +115,10 @@ def infer(bins: np.ndarray, doc: np.ndarray, n_docs: int, log_p: np.ndarray, pro
     local = np.repeat(np.arange(len(docs)), np.diff(np.append(starts, len(d))))
     times = times.astype(np.float64)
     total = np.add.reduceat(times, starts)
-    single = np.add.reduceat(log_p[:, g] * times, starts, axis=1).T
-    p = prob[:, g]
+    log_p = columns(g)
+    single = np.add.reduceat(log_p * times, starts, axis=1).T
+    p = np.exp(log_p)
+    del log_p
     pi, full = _em(p, times, starts, local, total, np.full((len(docs), k), 1 / k))
     top = single.argmax(axis=1)
     share[docs] = pi
@@ -114,7 +129,7 @@ def infer(bins: np.ndarray, doc: np.ndarray, n_docs: int, log_p: np.ndarray, pro
     for i in np.flatnonzero(full - single[np.arange(len(docs)), top] > cost).tolist():
         s, e = starts[i], starts[i + 1] if i + 1 < len(docs) else len(d)
         order = [top[i], *(x for x in np.argsort(-pi[i], kind="stable") if x != top[i])]
-        score, own, mine = single[i, top[i]], np.eye(1, k, top[i])[0], 1
+        score, own, mine = single[i, top[i]], pi[i], 1
         for m in range(2, k + 1):
             part = np.zeros((1, k))
             part[0, order[:m]] = 1 / m
@@ -124,7 +139,7 @@ def infer(bins: np.ndarray, doc: np.ndarray, n_docs: int, log_p: np.ndarray, pro
         chosen[docs[i]] = False
         chosen[docs[i], order[:mine]] = True
         share[docs[i]] = own
-        best[docs[i]] = int(own.argmax())
+        best[docs[i]] = int(own.argmax()) if mine > 1 else top[i]
     return best, share, chosen
 
 
@@ -132,22 +147,31 @@ def predict(documents: DataFrame, names: list[str], log_p: np.ndarray, id_col: s
     """id, lang_pred and score (the share of lang_pred); with_mixture adds the chosen languages with their shares.
 
     `und` with score 0 where the text is null, has no letter or there is no model; a text too short for a trigram gets
-    the first language with score 1 / number of languages.
+    the first language with score 1 / number of languages. Any number of languages will do.
     """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast((names, log_p.astype(np.float32)))
+    sc = documents.sparkSession.sparkContext
+    blocks = [sc.broadcast(log_p[i : i + BLOCK_LANGUAGES].astype(np.float32)) for i in range(0, len(names), BLOCK_LANGUAGES)]
+    sent = sc.broadcast(list(names))
     kind = documents.schema[id_col].dataType.simpleString()
 
     def make():
-        langs, table = sent.value
-        table = table.astype(np.float64)
-        prob = np.exp(table)
+        langs = sent.value
+        kept = blocks[0].value if len(blocks) == 1 else None
+
+        def columns(g):
+            if kept is not None:
+                return kept[:, g].astype(np.float64)
+            parts = []
+            for b in blocks:
+                parts.append(b.value[:, g].astype(np.float64))
+                b.__dict__.pop("_value", None)  # read again from its file when next needed
+            return np.concatenate(parts)
 
         def step(batch):
             data, off = buffers(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, min(CHUNK_BYTES, max(1, CELLS // max(1, len(langs))))):
                 bins, doc = trigrams(data, off[i : j + 1])
-                best, share, chosen = infer(bins, doc, j - i, table, prob)
+                best, share, chosen = infer(bins, doc, j - i, len(langs), columns)
                 letter = [bool(langs) and _LETTER(t) is not None for t in batch.column(1).slice(i, j - i).to_pylist()]
                 pred = [langs[max(b, 0)] if ok else "und" for b, ok in zip(best.tolist(), letter, strict=True)]
                 score = [(min(1.0, float(s[b])) if b >= 0 else 1 / len(langs)) if ok else 0.0 for b, s, ok in zip(best.tolist(), share, letter, strict=True)]
