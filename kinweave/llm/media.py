@@ -2,7 +2,8 @@
 
 A payload is stored without loss as a one-channel 8-bit WAVE file and read back. Its features: polyphase resampling,
 log-mel filterbanks over overlapped frames, and segments by energy with hysteresis. Each segment's filterbank, averaged
-to a fixed number of steps, is a tensor of one fixed shape with the segment's time span.
+to a fixed number of steps, is a tensor of one fixed shape with the segment's time span. The stored form carries them: a
+chunk `arrw` of the file holds an Arrow stream of start, end and a fixed-shape tensor, which readers of sound pass over.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from kinweave.llm.common import id_text, map_arrow, slices
 
 RATE = 16_000
-#: Resampling factor UP / DOWN, and filter taps for each phase.
-UP, DOWN, TAPS = 1, 2, 24
+#: Resampling factor UP / DOWN (16 kHz to 12 kHz), and filter taps for each phase.
+UP, DOWN, TAPS = 3, 4, 24
 FRAME, HOP, MELS, STEPS = 256, 128, 16, 4
 #: Shape of a segment's tensor.
 SHAPE = (STEPS, MELS)
@@ -34,29 +35,62 @@ def payload(text: bytes) -> bytes:
     return text + bytes(PAD - len(text) % PAD if len(text) % PAD or not text else 0)
 
 
-def to_wave(samples: bytes, rate: int = RATE) -> bytes:
+def to_wave(samples: bytes, rate: int = RATE, segments: bytes = b"") -> bytes:
+    """An 8-bit one-channel WAVE file; segments: an Arrow stream that goes into a chunk of its own."""
     fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, rate, 1, 8)
     data = struct.pack("<4sI", b"data", len(samples)) + samples + b"\0" * (len(samples) % 2)
-    return struct.pack("<4sI4s", b"RIFF", 4 + len(fmt) + len(data), b"WAVE") + fmt + data
+    more = struct.pack("<4sI", b"arrw", len(segments)) + segments + b"\0" * (len(segments) % 2) if segments else b""
+    return struct.pack("<4sI4s", b"RIFF", 4 + len(fmt) + len(data) + len(more), b"WAVE") + fmt + data + more
 
 
-def from_wave(media: bytes) -> tuple[bytes, int]:
-    """Samples and rate of an 8-bit one-channel WAVE file."""
+def _chunks(media: bytes):
+    """Name, start and size of each chunk."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, rate = 12, 0
+    at = 12
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
+        yield name, at + 8, size
+        at += 8 + size + size % 2
+
+
+def from_wave(media: bytes) -> tuple[bytes, int]:
+    """Samples and rate of an 8-bit one-channel WAVE file."""
+    rate = 0
+    for name, at, size in _chunks(media):
         if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, at)
             if (kind, channels, bits) != (1, 1, 8):
                 raise ValueError("not 8-bit one-channel PCM")
         elif name == b"data":
-            return media[at + 8 : at + 8 + size], rate
-        at += 8 + size + size % 2
+            return media[at : at + size], rate
     raise ValueError("no data chunk")
 
 
+def segments_of(media: bytes) -> pa.Table:
+    """start, end (seconds) and logmel (a fixed-shape tensor) of the segments that a stored file carries; none: no rows."""
+    for name, at, size in _chunks(media):
+        if name == b"arrw":
+            return pa.ipc.open_stream(pa.py_buffer(media)[at : at + size]).read_all()
+    return _segment_schema().empty_table()
+
+
+@functools.lru_cache
+def _segment_schema() -> pa.Schema:
+    return pa.schema([("start", pa.float64()), ("end", pa.float64()), ("logmel", pa.fixed_shape_tensor(pa.float32(), SHAPE))])
+
+
+def segment_stream(spans: np.ndarray, tensors: np.ndarray) -> bytes:
+    """The Arrow stream of segments; no bytes for none."""
+    if not len(spans):
+        return b""
+    schema, sink = _segment_schema(), pa.BufferOutputStream()
+    logmel = pa.ExtensionArray.from_storage(schema.field("logmel").type, pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), STEPS * MELS))
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[:, 0])), pa.array(np.ascontiguousarray(spans[:, 1])), logmel], schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
 @functools.lru_cache
 def _filter() -> np.ndarray:
     """A windowed-sinc low-pass filter at the lower of both rates, scaled to unit gain in each phase."""
@@ -70,16 +104,14 @@ def _filter() -> np.ndarray:
 def resample(x: np.ndarray) -> np.ndarray:
     """By UP / DOWN: each output phase has its own part of the filter and reads every DOWN-th input."""
     h, n = _filter(), -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS, np.float32), x, np.zeros(DOWN, np.float32)])
-    out = np.zeros(n, np.float32)
+    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x, np.zeros(DOWN, np.float32)])
+    ends = np.lib.stride_tricks.sliding_window_view(padded, TAPS)  # row i: the inputs up to i
+    out = np.empty(n, np.float32)
     for first in range(min(UP, n)):
         at, phase = divmod(first * DOWN, UP)
-        count = len(out[first::UP])
-        y = np.zeros(count, np.float32)
-        for k, tap in enumerate(h[phase::UP]):
-            start = TAPS + at - k
-            y += tap * padded[start : start + DOWN * count : DOWN][:count]
-        out[first::UP] = y
+        taps, count = np.ascontiguousarray(h[phase::UP][::-1]), len(out[first::UP])
+        for k in range(0, count, BLOCK):
+            out[first + k * UP :: UP][:BLOCK] = ends[at + k * DOWN :: DOWN][: min(BLOCK, count - k)] @ taps
     return out
 
 
@@ -146,8 +178,8 @@ def feature_text(found: dict) -> str:
 def describe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False, with_segments: bool = False) -> DataFrame:
     """One row for each document: sizes and digests of payload and media, and a feature text.
 
-    with_media adds the WAVE bytes, with_segments the segments (start, end in seconds; logmel: a tensor of SHAPE,
-    row by row). Null and empty texts are 64 zero bytes. All of a row comes from its own text alone, so equal texts have
+    The media is a WAVE file that carries its segments. with_media adds its bytes, with_segments the segments as a column
+    (start, end in seconds; logmel: a tensor of SHAPE, row by row). Null and empty texts are 64 zero bytes. All of a row comes from its own text alone, so equal texts have
     equal values.
     """
     kind = documents.schema[id_col].dataType.simpleString()
@@ -161,9 +193,10 @@ def describe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = []
                 for text in part.column(1):
                     raw = text.as_py().encode()
-                    media = to_wave(payload(raw))
-                    back, _ = from_wave(media)
+                    back, _ = from_wave(to_wave(payload(raw)))
                     found = analyse(back)
+                    media = to_wave(back, segments=segment_stream(found["spans"], found["tensors"]))
+                    back, _ = from_wave(media)
                     row = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(found)]
                     row += [media] if with_media else []
                     row += [[{"start": a, "end": b, "logmel": t.ravel().tolist()} for (a, b), t in zip(found["spans"].tolist(), found["tensors"], strict=True)]] if with_segments else []

@@ -41,7 +41,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(table(spark, sf_dir, "documents"))
+    return media.describe(table(spark, sf_dir, "documents"), with_segments=True)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
