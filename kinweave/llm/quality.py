@@ -156,7 +156,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 x = _batch_statistics(b.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "held"])
 
-    table = joined.mapInArrow(measure, "x array<double>, y double, held boolean").coalesce(max(1, -(-min(n, max_rows) // FIT_ROWS) * 2)).persist()
+    # the scan keeps its tasks; what it leaves, some 200 bytes for each labelled row of the fit, goes to a few that sum it
+    table = joined.mapInArrow(measure, "x array<double>, y double, held boolean").repartition(max(1, -(-min(n, max_rows) // FIT_ROWS) * 2)).persist()
     try:
         k = len(STATISTICS)
         moments = _sums(table.select("x", "y"), lambda x, y: np.concatenate([[len(y)], x.sum(axis=0), (x * x).sum(axis=0)]))
