@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds at-signs, plus signs, schemes and identifier cues in one pass; local parsers expand each
-anchor and validate what they find. `ip` and `card` have no anchor: their patterns are scanned for over the whole text. Four
-base kinds have fixed grammars, leftmost and without overlap within a kind:
+An Aho-Corasick automaton finds at-signs, plus signs, points between digits, neighbouring digits, schemes and identifier
+cues in one pass over the text (with digits as one sign and letters in lower case); local parsers expand each anchor to
+both sides and validate what they find. Four base kinds have fixed grammars, leftmost and without overlap within a kind:
 
     email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
     ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)        parts at most 255
@@ -38,8 +38,9 @@ CUES = {
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A maximal run of digits can't match from within, so nothing is retried there; the language of each pattern is as above.
+_DIGITS = frozenset("0123456789")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"[\"']?[ \t]{0,4}[:=][ \t]{0,4}(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'|([A-Za-z0-9_\-./+]{16,}+))")
@@ -47,13 +48,15 @@ _ACCOUNT = re.compile(r"[\"']?[ \t:=#.]{1,8}[\"']?(?:(?:no|nr|number|num)\b[ \t:
 _LOGIN = re.compile(r"([^\s/?#@:\"'<>]++:[^\s/?#@\"'<>]++)@[A-Za-z0-9-]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Keeps offsets, as each letter stays one code point.
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
+#: What every address and every card number has, with each digit as 0.
+DIGIT_ANCHORS = {"ip": ["0.0"], "card": ["00", "0 0", "0-0"]}
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchors in lower case, for texts whose ASCII letters are lower-cased."""
+    """Anchors in lower case, with each digit as 0, for texts that are folded in the same way."""
     a = ahocorasick.Automaton()
-    for word, kind in [("@", "email"), ("+", "phone"), *((w, k) for k, words in CUES.items() for w in words)]:
+    for word, kind in [("@", "email"), ("+", "phone"), *((w, k) for d in (DIGIT_ANCHORS, CUES) for k, words in d.items() for w in words)]:
         a.add_word(word, kind)
     a.make_automaton()
     return a
@@ -96,6 +99,32 @@ def _phones(text: str, plus_signs: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _ips(text: str, anchors: list[int]) -> list[tuple[int, int]]:
+    """anchors: the digits behind a point with a digit before it."""
+    out, free = [], 0
+    for at in anchors:
+        start = at - 1
+        while start > free and text[start - 1] in _DIGITS:
+            start -= 1
+        if at - 2 >= free and (m := _IP.match(text, start)):
+            free = m.end()
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                out.append(m.span())
+    return out
+
+
+def _cards(text: str, anchors: list[int]) -> list[tuple[int, int]]:
+    """anchors: digits with a digit right before them or before one space or hyphen, the first of a number first."""
+    out, free = [], 0
+    for at in anchors:
+        start = at - 1 if text[at - 1] in _DIGITS else at - 2
+        if start >= free and (m := _CARD.match(text, start)):
+            free = m.end()
+            if m.end() - start >= 14 and 14 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
+                out.append(m.span())
+    return out
+
+
 def _account(text: str, at: int) -> tuple[int, int] | None:
     if (m := _ACCOUNT.match(text, at)) is None:
         return None
@@ -118,8 +147,8 @@ def scan(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
         at[kind].append(last)
     found = {
         "email": _emails(text, at["email"]),
-        "ip": [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))],
-        "card": [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d)],
+        "ip": _ips(text, at["ip"]),
+        "card": _cards(text, at["card"]),
         "phone": _phones(text, at["phone"]),
     }
     for kind in ("secret", "account", "login"):
@@ -153,7 +182,8 @@ def _joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) ->
 
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_masked: bool = False) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if with_masked, the masked text of every whole text.
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_account, n_login and, if with_masked, the masked
+    text of every whole text.
 
     Null and empty texts have no spans. One row in, one row out; no row depends on another.
     """
@@ -168,14 +198,15 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 found = [scan(t, anchors) for t in texts]
                 cols = [part.column(0), *(pa.array([len(f[k]) for f in found], pa.int64()) for k in BASE)]
                 cols += [pa.array([hashlib.sha256(_joined(f, BASE).encode()).hexdigest() for f in found]), pa.array([_joined(f, KINDS) for f in found])]
-                names = ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+                cols += [pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS[len(BASE) :]]
+                names = ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[len(BASE) :])]
                 if with_masked:
                     cols, names = [*cols, pa.array([masked(t, f) for t, f in zip(texts, found, strict=True)])], [*names, "masked"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
         return step
 
-    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked string" * with_masked
+    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_account long, n_login long" + ", masked string" * with_masked
     return map_arrow(id_text(documents, id_col, text_col), make, schema).withColumnRenamed("id", id_col)
 
 
