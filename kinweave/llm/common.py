@@ -108,7 +108,7 @@ def row_chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def slices(batch: pa.RecordBatch, text: int, rows: int = 256, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most `rows` rows and `limit` bytes in the column at `text`, or of one row."""
-    column = batch.column(text).cast(pa.large_string())
+    column = batch.column(text).cast(pa.large_binary())
     off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :]
     for i, j in row_chunks(off, limit):
         for k in range(i, j, rows):

@@ -9,8 +9,12 @@ parts' registers, and those of similar sets are often equal. The steps:
 3. every member of a bucket is a candidate with the bucket's least class (its hub), never all pairs;
 4. the likelihood of three counts (registers above, below, equal) and the two known sizes estimates the similarity of a
    candidate; those far under the threshold go, the rest are confirmed on their full sets;
-5. confirmed links give components; buckets that still hold several components are joined to families, and all pairs of
-   a family across components are confirmed on their full sets, in blocks of bounded size.
+5. confirmed links give components; buckets that still hold several components are joined to families. A member can
+   link to another component only if that share of its shingles which the threshold asks for is in its family outside its
+   own component; the others go, exactly. Those that stay are ordered by size and dealt into blocks, and pairs of blocks
+   whose sizes allow the threshold are compared on their full sets.
+
+Hot keys (the hub of a large bucket, the root of a large component) are dealt to several tasks in every join.
 
 So no bucket keeps an unconfirmed pair across components. With 32 bands of 4 registers two sets of similarity 0.8
 share no bucket once in 2 * 10^7 times; an estimate that falls short of the slack costs nothing, as step 5 goes without it.
@@ -21,10 +25,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import buffers, id_text, map_arrow, mix64, release, row_chunks, shingle_sets
-from kinweave.llm.shared import small, stored
+from kinweave.llm.common import buffers, id_text, map_arrow, mix64, release, row_chunks, shingle_sets, slices
+from kinweave.llm.shared import dealt_join, hot_keys, scratch, small, stored
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -134,7 +139,7 @@ def sketch(documents: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b) of digests those whose sizes and estimate allow the threshold."""
     own = sketches.select("sig", "n", "regs")
-    both = pairs.join(own.selectExpr("sig as a", "n as n_a", "regs as r_a"), "a").join(own.selectExpr("sig as b", "n as n_b", "regs as r_b"), "b")
+    both = dealt_join(pairs, own.selectExpr("sig as a", "n as n_a", "regs as r_a"), "a", hot_keys(pairs, "a"), "b").join(own.selectExpr("sig as b", "n as n_b", "regs as r_b"), "b")
     both = both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
     cut = _cut(threshold)
 
@@ -173,7 +178,7 @@ def _full_sets(documents: DataFrame, classes: DataFrame, pairs: DataFrame, id_co
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs those with 100 * |intersection| >= percent * |union|."""
-    both = pairs.join(sets.selectExpr("sig as b", "set as set_b"), "b").join(sets.selectExpr("sig as a", "set as set_a"), "a")
+    both = dealt_join(pairs, sets.selectExpr("sig as a", "set as set_a"), "a", hot_keys(pairs, "a"), "b").join(sets.selectExpr("sig as b", "set as set_b"), "b")
 
     def make():
         def step(batch):
@@ -193,23 +198,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "set_a", "set_b"), make, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: bool = False) -> DataFrame:
     """node and label (the least node of its component) of every node of links (a, b).
 
     Rounds of least neighbour labels and pointer jumps, each stored in the shared folder, until none changes.
     """
     edges = stored(links.select("a", "b").union(links.selectExpr("b as a", "a as b")).where("a != b").distinct())
+    hot = hot_keys(edges, "b")
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as node", "least(a, m) as label"))
     while True:
-        near = edges.join(labels.selectExpr("node as b", "label as seen"), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "seen").alias("new"))
-        jump = new.select(F.col("node").alias("at"), F.col("new").alias("there"))
-        new = new.join(jump, new["new"] == jump["at"], "left").select("node", "label", F.least("new", F.coalesce("there", "new")).alias("new"))
-        new = stored(new)
+        near = dealt_join(edges, labels.selectExpr("node as b", "label as seen"), "b", hot, "a").groupBy("a").agg(F.min("seen").alias("seen"))
+        new = stored(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "seen").alias("new")))
+        # of each label in use the label that it has itself by now: as many rows as labels, not as nodes
+        jumps = new.select("new").distinct().join(new.select(F.col("node").alias("new"), F.col("new").alias("there")), "new").where("new != there")
+        jumps = stored(jumps)
+        if jumps.limit(1).count():
+            far = dealt_join(new, jumps, "new", hot_keys(new, "new"), "node", "left").select("node", "label", F.coalesce("there", "new").alias("new"))
+            new = stored(far)
         changed = new.where("label != new").limit(1).count()
         labels = new.selectExpr("node", "new as label")
         if not changed:
-            return labels
+            return stored(labels, keep=True) if keep else labels
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -253,17 +262,44 @@ def spanning(links: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the members (family, sig, label) with their set and its size those that may link to another component.
+
+    Two sets of the threshold share that part of either; a shingle that no other component of the family has is not
+    shared, so a member with too many of those has no link across components.
+    """
+    rows = stored(members.join(sets, "sig").withColumn("n", (F.octet_length("set") / 8).cast("long")))
+    schema = "family binary, label binary, sig binary, h long"
+
+    def spread(batch):
+        for part in slices(batch, 3, 64):
+            for family, label, sig, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                h = np.frombuffer(s, np.int64)
+                for k in range(0, len(h), 50_000):
+                    one = pa.array(h[k : k + 50_000])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(one), pa.binary()) for x in (family, label, sig)), one], ["family", "label", "sig", "h"])
+
+    words = stored(map_arrow(rows.select("family", "label", "sig", "set"), lambda: spread, schema))
+    across = words.groupBy("family", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low != high")
+    across = stored(across.select("family", "h"))
+    shared = dealt_join(words, across, ["family", "h"], hot_keys(words.select("family", "h"), "family", "h", least=100_000), "sig").groupBy("sig").agg(F.count("*").alias("shared"))
+    return stored(rows.join(shared, "sig").where(100 * F.col("shared") >= percent * F.col("n")).drop("shared"))
+
+
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) across components within families; members: family, sig, label; sets: sig, set.
 
-    A family of over BLOCK members is dealt into blocks, and each pair of blocks is a task of its own. All pairs of a task
-    are compared on their full sets, in memory; what comes out is no more than a forest over its members.
+    Members that may have such a link are dealt into blocks by size within their family. A pair of blocks whose sizes
+    allow the threshold is a task of its own: all pairs are compared on their full sets, in memory, and what comes out is
+    no more than a forest over its members.
     """
-    sizes = members.groupBy("family").agg(F.count("*").alias("members"))
-    rows = members.join(sizes, "family").join(sets, "sig")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "label", "set")
+    rows = _possible(members, sets, percent)
+    rows = stored(_blocked(rows))
+    bounds = stored(rows.groupBy("family", "own").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    low, high = bounds.selectExpr("family", "own as low", "most as low_most"), bounds.selectExpr("family", "own as high", "least as high_least")
+    pairs = stored(low.join(high, "family").where((F.col("low") <= F.col("high")) & (100 * F.col("low_most") >= percent * F.col("high_least"))).select("family", "low", "high"))
+    ends = pairs.selectExpr("family", "low as own", "low", "high").union(pairs.where("low != high").selectExpr("family", "high as own", "low", "high"))
+    rows = rows.join(ends, ["family", "own"]).select("family", "low", "high", "own", "sig", "label", "set")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("sig")
@@ -283,32 +319,49 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("family", "low", "high").applyInArrow(search, "a binary, b binary")
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """rows with own, the block of each member by the size of its set; members of one size that spans several blocks are
+    dealt among these by hash."""
+    sizes = rows.groupBy("family", "n").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first, last = F.floor(F.col("before") / BLOCK), F.floor((F.col("before") + F.col("m") - 1) / BLOCK)
+    placed = stored(sizes.withColumn("before", before).select("family", "n", first.alias("first"), (last - first + 1).alias("parts")))
+    joined = dealt_join(rows, placed, ["family", "n"], hot_keys(rows.select("family", "n"), "family", "n"), "sig")
+    return joined.withColumn("own", (F.col("first") + F.pmod(F.xxhash64("sig"), F.col("parts"))).cast("int")).drop("first", "parts")
+
+
 def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(sketches, members): the stored sketch of every row; sig, component (its least id) of every non-empty class."""
-    threshold = percent / 100
-    rows = stored(sketch(documents, id_col, text_col, shingle))
-    found = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
-    classes = stored(found)
-    banded = stored(classes.select("sig", F.explode("keys").alias("key")))
-    hubs = banded.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
-    shared = stored(banded.join(hubs, "key").select("key", "sig", "hub"))
-    pairs = stored(_estimated(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct(), classes, threshold))
-    links = stored(_confirmed(pairs, stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle)), percent))
-    labels = components(links)
-    labelled = shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "hub", F.coalesce("label", "sig").alias("label"))
-    labelled = stored(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    members = stored(labelled.join(mixed, "key", "left_semi").groupBy("sig", "hub").agg(F.first("label").alias("label")))
-    families = components(members.selectExpr("hub as a", "sig as b"))
-    own = stored(members.groupBy("sig").agg(F.first("label").alias("label")).join(families.selectExpr("node as sig", "label as family"), "sig"))
-    sets = stored(_full_sets(documents, classes, own.selectExpr("sig as a", "sig as b"), id_col, text_col, shingle))
-    further = stored(_across(own, sets, percent))
-    if further.limit(1).count():
-        labels = components(links.select("a", "b").union(further))
-    least = classes.select("sig", "id").join(labels.withColumnRenamed("node", "sig"), "sig").groupBy("label").agg(F.min("id").alias("component"))
-    linked = labels.join(least, "label").select(F.col("node").alias("sig"), "component")
-    members = classes.select("sig", "id").join(linked, "sig", "left").select("sig", F.coalesce("component", "id").alias("component"))
-    return rows, members
+    """(sketches, members): id, n and sig of every row; sig, component (its least id) of every non-empty class.
+
+    Both are stored; what else is stored on the way is deleted at the end.
+    """
+    threshold, spark = percent / 100, documents.sparkSession
+    with scratch(spark):
+        rows = stored(sketch(documents, id_col, text_col, shingle))
+        found = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+        classes = stored(found)
+        banded = stored(classes.select("sig", F.explode("keys").alias("key")))
+        hubs = stored(banded.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"))
+        shared = stored(dealt_join(banded, hubs, "key", hot_keys(banded, "key"), "sig"))
+        pairs = stored(_estimated(stored(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct()), classes, threshold))
+        links = stored(_confirmed(pairs, stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle)), percent))
+        labels = components(links)
+        labelled = stored(shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "hub", F.coalesce("label", "sig").alias("label")))
+        mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"))
+        members = stored(dealt_join(labelled, mixed, "key", hot_keys(labelled, "key"), "sig").groupBy("sig", "hub").agg(F.first("label").alias("label")))
+        if members.limit(1).count():
+            families = components(members.selectExpr("hub as a", "sig as b"))
+            own = stored(members.groupBy("sig").agg(F.first("label").alias("label")).join(families.selectExpr("node as sig", "label as family"), "sig"))
+            sets = stored(_full_sets(documents, classes, own.selectExpr("sig as a", "sig as b"), id_col, text_col, shingle))
+            further = stored(_across(own, sets, percent))
+            if further.limit(1).count():
+                labels = components(links.select("a", "b").union(further))
+        nodes = stored(labels)
+        hot = hot_keys(nodes, "label")
+        least = classes.select("sig", "id").join(nodes.withColumnRenamed("node", "sig"), "sig").groupBy("label").agg(F.min("id").alias("component"))
+        linked = dealt_join(nodes, least, "label", hot, "node").select(F.col("node").alias("sig"), "component")
+        members = stored(classes.select("sig", "id").join(linked, "sig", "left").select("sig", F.coalesce("component", "id").alias("component")), keep=True)
+        return stored(rows.select("id", "n", "sig"), keep=True), members
 
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -318,7 +371,8 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     themselves. A null id is passed over as the least; a component of null ids alone has a null component_id.
     """
     rows, members = classes_of(documents, id_col, text_col, shingle, percent)
-    joined = rows.select("id", "n", "sig").join(members, "sig", "left")
+    full = rows.where("sig is not null")
+    joined = dealt_join(full, members, "sig", hot_keys(full, "sig"), "id", "left").select("id", "n", "component").union(rows.where("sig is null").select("id", "n", F.lit(None).cast(members.schema["component"].dataType)))
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
