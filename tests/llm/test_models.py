@@ -18,7 +18,8 @@ from kinweave.llm import html_text, langid, licenses, media, quality, queries, t
 def test_toxicity_held_out(spark, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = queries.op1_toxicity(spark, sf_dir).join(labels, "doc_id").where("held_out").toPandas()
-    assert (got["predicted"] == got["toxic"]).mean() >= max(0.8, 1 - got["toxic"].mean())
+    toxic, got = got["toxic"] == 1, got["predicted"]
+    assert got[toxic].mean() >= 0.5 and got[~toxic].mean() <= 0.05  # which no constant meets
     assert queries.op1_toxicity(spark, sf_dir).columns == ["doc_id", "held_out", "score", "predicted"]
 
 
@@ -137,9 +138,10 @@ def test_wave_round_trip_and_digests(spark, documents):
 
 def test_resample_against_direct_filter():
     x = np.random.default_rng(0).normal(size=501).astype(np.float32)
-    h = media._filter()
-    full = np.convolve(np.concatenate([np.zeros(0), x]), h)[:501]
-    assert np.allclose(media.resample(x), full[:: media.DOWN], atol=1e-4)
+    up = np.zeros(501 * media.UP)
+    up[:: media.UP] = x
+    full = np.convolve(up, media._filter())[: len(up)]
+    assert media.UP > 1 and np.allclose(media.resample(x), full[:: media.DOWN], atol=1e-4)
 
 
 def test_segments_have_hysteresis():
