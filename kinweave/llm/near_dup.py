@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import buffers, id_text, map_arrow, mix64, release, row_chunks, shingle_sets, slices
-from kinweave.llm.shared import dealt_join, hot_keys, scratch, small, stored
+from kinweave.llm.shared import dealt_join, forget, hot_keys, scratch, small, stored
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -40,7 +40,7 @@ SLACK = 4.5
 #: Shingles that the registers take in at once.
 TILE = 1 << 15
 #: Members of a block within a family; sets up to which a hash is counted pair by pair; hashes of one matrix product.
-BLOCK, FEW, COLUMNS = 1000, 24, 8192
+BLOCK, FEW, COLUMNS = 500, 24, 8192
 
 _rng = np.random.default_rng(20_240_601)
 _FACTORS = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -262,39 +262,49 @@ def spanning(links: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the members (family, sig, label) with their set and its size those that may link to another component.
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the members (family, sig, label, set, n) those that may link to another component of their family.
 
     Two sets of the threshold share that part of either; a shingle that no other component of the family has is not
-    shared, so a member with too many of those has no link across components.
+    shared, so a member with too many of those has no link across components. Members, families and labels are 64-bit
+    hashes here; one hash for two members, or for shingles of two families, only keeps more.
     """
-    rows = stored(members.join(sets, "sig").withColumn("n", (F.octet_length("set") / 8).cast("long")))
-    schema = "family binary, label binary, sig binary, h long"
+    schema = "key long, label long, member long"
 
     def spread(batch):
         for part in slices(batch, 3, 64):
-            for family, label, sig, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                h = np.frombuffer(s, np.int64)
-                for k in range(0, len(h), 50_000):
-                    one = pa.array(h[k : k + 50_000])
-                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(one), pa.binary()) for x in (family, label, sig)), one], ["family", "label", "sig", "h"])
-
-    words = stored(map_arrow(rows.select("family", "label", "sig", "set"), lambda: spread, schema))
-    across = words.groupBy("family", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low != high")
-    across = stored(across.select("family", "h"))
-    shared = dealt_join(words, across, ["family", "h"], hot_keys(words.select("family", "h"), "family", "h", least=100_000), "sig").groupBy("sig").agg(F.count("*").alias("shared"))
-    return stored(rows.join(shared, "sig").where(100 * F.col("shared") >= percent * F.col("n")).drop("shared"))
+            for family, label, member, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                key = mix64(np.frombuffer(s, np.uint64) ^ np.uint64(family & (1 << 64) - 1)).view(np.int64)
+                for k in range(0, len(key), 50_000):
+                    one = key[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.full(len(one), label)), pa.array(np.full(len(one), member))], ["key", "label", "member"])
+
+    numbered = rows.select(F.xxhash64("family").alias("family"), F.xxhash64("label").alias("label"), F.xxhash64("sig").alias("member"), "set")
+    words = stored(map_arrow(numbered, lambda: spread, schema))
+    across = words.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    shared = dealt_join(words, across, "key", hot_keys(words, "key", least=50_000), "member").groupBy("member").agg(F.count("*").alias("shared"))
+    shared = stored(shared)
+    forget(words)
+    found = rows.withColumn("member", F.xxhash64("sig")).join(shared, "member")
+    return found.where(100 * F.col("shared") >= percent * F.col("n")).select(rows.columns)
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) across components within families; members: family, sig, label; sets: sig, set.
 
-    Members that may have such a link are dealt into blocks by size within their family. A pair of blocks whose sizes
+    Members that may have such a link (all of a family of one block) are dealt into blocks by size within their family. A pair of blocks whose sizes
     allow the threshold is a task of its own: all pairs are compared on their full sets, in memory, and what comes out is
     no more than a forest over its members.
     """
-    rows = _possible(members, sets, percent)
-    rows = stored(_blocked(rows))
+    rows = stored(members.join(sets, "sig").withColumn("n", (F.octet_length("set") / 8).cast("long")))
+    large = stored(rows.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("family"))
+    if large.limit(1).count():  # a family of one block is compared as it is
+        hot = hot_keys(rows, "family")
+        inside = dealt_join(rows, large.withColumn("large", F.lit(True)), "family", hot, "sig", "left")
+        inside = stored(inside)
+        forget(rows)
+        rows = inside.where("large is null").drop("large").unionByName(_possible(inside.where("large").drop("large"), percent))
+    rows = stored(_blocked(stored(rows)))
     bounds = stored(rows.groupBy("family", "own").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     low, high = bounds.selectExpr("family", "own as low", "most as low_most"), bounds.selectExpr("family", "own as high", "least as high_least")
     pairs = stored(low.join(high, "family").where((F.col("low") <= F.col("high")) & (100 * F.col("low_most") >= percent * F.col("high_least"))).select("family", "low", "high"))
@@ -345,8 +355,11 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = stored(dealt_join(banded, hubs, "key", hot_keys(banded, "key"), "sig"))
         pairs = stored(_estimated(stored(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct()), classes, threshold))
         links = stored(_confirmed(pairs, stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle)), percent))
+        forget(pairs)
         labels = components(links)
         labelled = stored(shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "hub", F.coalesce("label", "sig").alias("label")))
+        forget(banded)
+        forget(shared)
         mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"))
         members = stored(dealt_join(labelled, mixed, "key", hot_keys(labelled, "key"), "sig").groupBy("sig", "hub").agg(F.first("label").alias("label")))
         if members.limit(1).count():

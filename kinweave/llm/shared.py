@@ -53,9 +53,11 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
 
 def forget(df: DataFrame) -> None:
     """Delete a table that stored() returned; nothing may read it any more."""
-    if (path := getattr(df, "_kinweave_path", None)) in _paths:
-        _paths.remove(path)
-        drop(df.sparkSession, [path])
+    path = getattr(df, "_kinweave_path", None)
+    for paths in (_paths, *_open):
+        if path in paths:
+            paths.remove(path)
+            drop(df.sparkSession, [path])
 
 
 def clear(spark: SparkSession) -> None:
