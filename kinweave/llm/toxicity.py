@@ -27,10 +27,10 @@ from kinweave.llm.common import buffers, id_text, labels_of, map_arrow, row_chun
 MAX_FIT_ROWS = 24_000
 #: The labelled texts that a mark must be in, and the deviations by which these must be more, or less, toxic than chance.
 LEAST_TEXTS, LEAST_Z = 8, 4.0
-#: A word of a learned group is in this share of the labelled texts at least, and its texts are at most so many deviations
-#: from chance; both words of a pair are among the other's NEAR next neighbours by the cosine of their contexts, and as near
+#: A word of a learned group is in this share of the labelled texts at least, so that such words are no more than a text's
+#: distinct words over that share, whatever the texts are, and its texts are at most so many deviations from chance; both words of a pair are among the other's NEAR next neighbours by the cosine of their contexts, and as near
 #: as ALIKE.
-COMMON, NEUTRAL_Z, NEAR, ALIKE = 0.002, 2.0, 3, 0.4
+COMMON, NEUTRAL_Z, NEAR, ALIKE = 0.01, 1.0, 3, 0.4
 #: Hashed neighbours on either side that describe a word's contexts.
 CONTEXT = 64
 RIDGE, COUNTERFACTUAL = 1e-4, 4.0
@@ -184,13 +184,13 @@ def neutral_pairs(words: list[str], contexts: np.ndarray, alike: float = ALIKE,
     """
     if len(words) < 2:
         return ()
-    x = np.log1p(contexts.astype(np.float64))
+    x = np.log1p(contexts.astype(np.float32))
     x = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-9)
     x = x - x.mean(axis=0)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     found, k = [], min(near, len(words) - 1)
-    for a in range(0, len(x), 1024):
-        same = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        same = x[a : a + 256] @ x.T
         same[np.arange(len(same)), np.arange(a, a + len(same))] = -2
         best = np.argsort(-same, axis=1, kind="stable")[:, :k] if len(x) < 4096 else np.argpartition(-same, k - 1, axis=1)[:, :k]
         value = np.take_along_axis(same, best, 1)
