@@ -140,8 +140,9 @@ def name_keys(toks: Column) -> Column:
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """Distinct n-grams of the normalised text without spaces; a shorter text is its own, the empty one has none."""
     s = F.replace(normalize(c), F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: s.substr(i, F.lit(n)))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    # n passes over pieces of n letters, one letter further each time: linear in the text
+    passes = F.concat(*[F.regexp_extract_all(F.substring(s, i + 1, 1 << 30), F.lit(f".{{{n}}}"), F.lit(0)) for i in range(n)])
+    return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(passes))
 
 
 def jaccard(a: Column, b: Column) -> Column:

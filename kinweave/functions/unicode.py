@@ -15,21 +15,25 @@ from kinweave.functions import text
 
 _GAP = regex.compile(r"[^\p{L}\p{N}_ऀ-෿‌‍]+")
 INDIC = range(0x0900, 0x0E00)
-# The sounds of signs that are neither vowels nor the virama.
-_SIGNS = {"ANUSVARA": "n", "CANDRABINDU": "n", "VISARGA": "h"}
-_VOWELS = frozenset("a aa i ii u uu e ee ai o oo au".split())
+# What the name of an Indic character says of its kind and sound, the first that fits; \1 is lower-cased.
+_NAMES = (
+    (r"SIGN VOCALIC|VOCALIC .*SIGN", "sign", "r"), (r"VOCALIC", "sound", "r"), (r"LETTER.* (?=(?:AA?|II?|UU?|EE?|OO?|AI|AU)$)(\w)", "sound", r"\1"), (r"LETTER.* (\S+)$", "consonant", r"\1"),
+    (r"VOWEL.*SIGN.* (\S+)$", "sign", r"\1"), (r"VIRAMA", "sign", ""), (r"SIGN (?:ANUSVARA|CANDRABINDU)$", "sound", "n"), (r"SIGN VISARGA$", "sound", "h"),
+)
+#: Signs of the private area, between the steps of a romanisation: an inherent vowel may follow, it doesn't, a silent sign.
+_OPEN, _SHUT, _JOINT = "\ue000", "\ue001", "\ue002"
+
+
+@functools.cache
+def _marks() -> regex.Pattern:
+    """Combining marks behind an ASCII letter."""
+    marks = "".join(chr(c) for c in range(0x300, 0x110000) if unicodedata.combining(chr(c)))
+    return regex.compile(f"(?<=[A-Za-z])[{marks}]+")
 
 
 def strip_accents(s: str) -> str:
     """Compatibility decomposition without the marks that follow an ASCII letter; those of other scripts stay."""
-    out, latin = [], False
-    for c in unicodedata.normalize("NFKD", s):
-        mark = bool(unicodedata.combining(c))
-        if not mark:
-            latin = c.isascii() and c.isalpha()
-        if not (mark and latin):
-            out.append(c)
-    return "".join(out)
+    return _marks().sub("", unicodedata.normalize("NFKD", s))
 
 
 def normalize_text(s: str | None) -> str:
@@ -40,33 +44,28 @@ def normalize_text(s: str | None) -> str:
     return _GAP.sub(" ", s.lower()).strip(" ")
 
 
-@functools.lru_cache(4096)
-def _sound(c: str) -> tuple[str, str]:
-    """Kind (consonant, vowel sign, virama, other) and sound of an Indic character, from its Unicode name."""
-    words = unicodedata.name(c, "").split()
-    if "VOCALIC" in words:
-        return ("sign" if "SIGN" in words else "other"), "r"
-    if "LETTER" in words:
-        last = words[-1].lower()
-        return ("other", last[0]) if last in _VOWELS else ("consonant", last)
-    if "VOWEL" in words and "SIGN" in words:
-        return "sign", words[-1].lower()
-    if "VIRAMA" in words:
-        return "virama", ""
-    if "DIGIT" in words:
-        return "other", str(unicodedata.digit(c))
-    return "other", _SIGNS.get(" ".join(words[words.index("SIGN") + 1 :]) if "SIGN" in words else "", "")
+@functools.cache
+def _sounds() -> dict[int, str]:
+    """The letters of each Indic character, with the signs above."""
+    table = {0x200C: _JOINT, 0x200D: _JOINT}
+    for c in INDIC:
+        name, out = unicodedata.name(chr(c), ""), ""
+        if (digit := unicodedata.digit(chr(c), None)) is not None:
+            out = str(digit)
+        else:
+            for pattern, kind, letters in _NAMES:
+                if m := regex.search(pattern, name):
+                    out = m.expand(letters).lower()
+                    out = _SHUT + out if kind == "sign" else (out.rstrip("a") or out) + _OPEN if kind == "consonant" else out
+                    break
+        table[c] = out or _JOINT
+    return table
 
 
 def romanize(token: str) -> str:
     """Rough Latin letters of an Indic token: a consonant sounds with `a` unless a vowel sign or the virama follows."""
-    out, open_a = [], ""
-    for c in token:
-        kind, sound = _sound(c) if ord(c) in INDIC else ("foreign", "" if c in "‌‍" else c)
-        out.append("" if kind in ("sign", "virama") else open_a)
-        open_a = "a" if kind == "consonant" else ""
-        out.append((sound.rstrip("a") or sound) if kind == "consonant" else sound)
-    return "".join([*out, open_a])
+    out = token.translate(_sounds()).replace(_OPEN + _SHUT, "").replace(_OPEN, "a")
+    return out.replace(_SHUT, "").replace(_JOINT, "")
 
 
 @F.pandas_udf(StringType())

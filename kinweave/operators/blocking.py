@@ -1,8 +1,11 @@
 """Two-channel candidate generation: an equi-join on weighted tokens, summed for each pair, best ones kept.
 
 `all` has the tokens of name and address, `name` the keys of `functions.text.name_keys`. Tokens over `df_cap` are
-ignored; those over `gen_cap` only score pairs that rarer tokens made. That cap is what bounds a hot token: no more than
-gen_cap rows of a country meet in one join key.
+ignored; those over `gen_cap` only score pairs that rarer tokens made.
+
+The targets of a token are one array (or several of CHUNK, for tokens that many targets have), so a join row stands for
+many matches. These rows are dealt by entity once; expanding them, summing both channels of a pair, ranking and cutting
+then all happen within the tasks of that one exchange.
 """
 
 from __future__ import annotations
@@ -12,11 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions import text
+from kinweave.plans.staging import staged
 
 DF_CAP = 200_000
 TOPK, NAME_TOPK, MIN_SHARED, RARE_SCORE = 50, 25, 2, 6.0
 #: nrank of a pair that isn't among the name channel's best.
 NO_RANK = 999
+#: Targets of one token in a row, about; a token with more is dealt to several join keys.
+CHUNK = 4096
 
 
 def record_views(records: DataFrame, aliases: Column | None = None) -> DataFrame:
@@ -59,34 +65,66 @@ def weighted(weights: DataFrame, df_cap: int = DF_CAP, gen_cap: int | None = Non
     return weights.where(F.col("df") <= df_cap).select("country", "token", "df", "idf", (F.col("idf") * F.col("idf")).alias("w"), tier.alias("tier"))
 
 
-def postings(channel: DataFrame, weights: DataFrame, queries: bool) -> DataFrame:
-    own = channel.where("source = 1" if queries else "source > 1").select(F.col("code").alias("s1" if queries else "cand"), "country", F.explode("toks").alias("token"))
-    return own.join(weights.select("country", "token", "w", "tier"), ["country", "token"]) if queries else own
+def postings(channel: DataFrame, queries: bool) -> DataFrame:
+    """country, token and s1 (entities) or cand (targets): one row for each token of a record."""
+    return channel.where("source = 1" if queries else "source > 1").select("country", F.col("code").alias("s1" if queries else "cand"), F.explode("toks").alias("token"))
 
 
-def _sums(q: DataFrame, t: DataFrame) -> DataFrame:
-    return q.join(t, ["country", "token"]).groupBy("country", "s1", "cand").agg(F.count("*").alias("shared"), F.sum("w").alias("score"))
+def matches(channel: DataFrame, weights: DataFrame) -> DataFrame:
+    """s1, w, cands: for each generating token of an entity its weight and targets, CHUNK at a time, about."""
+    gen = weights.where("tier = 'generating'").select("country", "token", "w", F.ceil(F.col("df") / CHUNK).cast("int").alias("parts"))
+    t = postings(channel, False).join(gen.select("country", "token", "parts"), ["country", "token"])
+    index = t.groupBy("country", "token", F.pmod(F.xxhash64("cand"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("cand").alias("cands"))
+    q = postings(channel, True).join(gen, ["country", "token"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return q.join(index, ["country", "token", "part"]).select("s1", "w", "cands")
 
 
-def channel_pairs(channel: DataFrame, weights: DataFrame, topk: int, min_shared: int = MIN_SHARED, rare_score: float = RARE_SCORE) -> DataFrame:
-    """country, s1, cand, shared, score, rank (from 0) of the best topk pairs of each entity; topk 0 gives none."""
-    q, t = postings(channel, weights, True), postings(channel, weights, False)
-    pairs = _sums(q.where("tier = 'generating'"), t)
-    if weights.where("tier = 'common'").limit(1).count():  # common tokens add to pairs that exist
-        extra = _sums(q.where("tier = 'common'"), t).select("s1", "cand", F.col("shared").alias("more"), F.col("score").alias("gain"))
-        pairs = pairs.join(extra, ["s1", "cand"], "left").select("country", "s1", "cand", (F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
-    pairs = pairs.withColumn("score", F.round("score", 6)).where((F.col("shared") >= min_shared) | (F.col("score") >= rare_score))
-    best = W.partitionBy("s1").orderBy(F.desc("score"), "cand")
-    return pairs.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < topk)
+def _kept(shared: str, score: str, min_shared: int, rare_score: float) -> Column:
+    return (F.col(shared) >= min_shared) | (F.round(score, 6) >= rare_score)
+
+
+def _country(pairs: DataFrame, channel: DataFrame) -> DataFrame:
+    return pairs.join(channel.where("source = 1").select(F.col("code").alias("s1"), "country"), "s1")
+
+
+def _with_common(pairs: DataFrame, channel: DataFrame, weights: DataFrame, shared: str, score: str) -> DataFrame:
+    """pairs with what tokens over the cap add to one channel's sums; such tokens are few, as each has many targets."""
+    common = weights.where("tier = 'common'").select("country", "token", "w")
+    q = postings(channel, True).join(common, ["country", "token"]).groupBy("s1").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("mine"))
+    t = postings(channel, False).join(common.select("country", "token"), ["country", "token"]).groupBy("cand").agg(F.collect_list("token").alias("theirs"))
+    p = pairs.join(q, "s1", "left").join(t, "cand", "left").withColumn("both", F.array_intersect(F.map_keys("mine"), F.col("theirs")))
+    p = p.withColumn("both", F.coalesce("both", F.array().cast("array<string>")))
+    gain = F.aggregate("both", F.lit(0.0), lambda x, k: x + F.element_at("mine", k))
+    return p.withColumn(score, F.col(score) + gain).withColumn(shared, F.col(shared) + F.size("both")).select(*pairs.columns)
+
 
+def _reachable(pairs: DataFrame, channel: DataFrame, weights: DataFrame, score: str, topk: int, kept: Column) -> DataFrame:
+    """pairs that can still be among the entity's topk by a channel's sum, whatever its common tokens add.
 
-def rescored(pairs: DataFrame, channel: DataFrame, weights: DataFrame, prefix: str = "") -> DataFrame:
-    """Pairs (country, s1, cand) with shared and score over all indexed tokens of a channel; none shared: 0 and 0."""
-    q, t = postings(channel, weights, True), postings(channel, weights, False)
-    of_pair = pairs.select("country", "s1", "cand").join(q.select("s1", "token", "w"), "s1").join(t.select("cand", "token"), ["cand", "token"])
-    sums = of_pair.groupBy("s1", "cand").agg(F.count("*").alias("_shared"), F.round(F.sum("w"), 6).alias("_score"))
-    out = pairs.join(sums, ["s1", "cand"], "left")
-    return out.select(*pairs.columns, F.coalesce("_shared", F.lit(0)).alias(f"{prefix}shared"), F.coalesce("_score", F.lit(0.0)).alias(f"{prefix}score"))
+    The topk-th best sum so far of the pairs that are kept already only rises, so a pair that stays below it with the
+    weights of all of the entity's common tokens is out.
+    """
+    most = postings(channel, True).join(weights.where("tier = 'common'").select("country", "token", "w"), ["country", "token"]).groupBy("s1").agg(F.sum("w").alias("most"))
+    place = F.row_number().over(W.partitionBy("s1").orderBy(F.desc(F.when(kept, F.col(score))), "cand"))
+    p = pairs.withColumn("place", F.when(kept, place))
+    p = p.withColumn("bound", F.max(F.when(F.col("place") == topk, F.col(score))).over(W.partitionBy("s1"))).join(most, "s1", "left")
+    return p.where(F.col("bound").isNull() | (F.col(score) + F.coalesce("most", F.lit(0.0)) >= F.col("bound") - 1e-6)).select(*pairs.columns)
+
+
+def channel_pairs(channel: DataFrame, weights: DataFrame, topk: int, min_shared: int = MIN_SHARED, rare_score: float = RARE_SCORE, common: bool = True) -> DataFrame:
+    """country, s1, cand, shared, score, rank (from 0) of the best topk pairs of each entity; topk 0 gives none.
+
+    common: whether `weights` may have tokens of that tier.
+    """
+    rows = matches(channel, weights).repartition("s1").select("s1", "w", F.explode("cands").alias("cand"))
+    pairs = rows.groupBy("s1", "cand").agg(F.count("*").alias("shared"), F.sum("w").alias("score"))
+    if common:
+        pairs = _reachable(pairs, channel, weights, "score", max(topk, 1), _kept("shared", "score", min_shared, rare_score))
+        pairs = _with_common(pairs, channel, weights, "shared", "score")
+    pairs = pairs.where(_kept("shared", "score", min_shared, rare_score)).withColumn("score", F.round("score", 6))
+    best = W.partitionBy("s1").orderBy(F.desc("score"), "cand")
+    pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= topk)
+    return _country(pairs, channel).select("country", "s1", "cand", "shared", "score", (F.col("place") - 1).alias("rank"))
 
 
 def block(views: DataFrame, topk: int = TOPK, name_topk: int = NAME_TOPK, df_cap: int = DF_CAP, gen_cap: int | None = None, name_gen_cap: int | None = None, min_shared: int = MIN_SHARED) -> DataFrame:
@@ -95,14 +133,30 @@ def block(views: DataFrame, topk: int = TOPK, name_topk: int = NAME_TOPK, df_cap
     The union of both channels' best pairs, every pair scored in both channels on all indexed tokens; rank by score, then
     name score, then target; nrank is the place among the name channel's best, else NO_RANK.
     """
-    both, name = channel_tokens(views, "all"), channel_tokens(views, "name")
-    w_all, w_name = weighted(token_weights(both), df_cap, gen_cap), weighted(token_weights(name), df_cap, name_gen_cap)
-    by_all, by_name = channel_pairs(both, w_all, topk, min_shared), channel_pairs(name, w_name, name_topk, min_shared)
-    pairs = by_all.select("country", "s1", "cand").union(by_name.select("country", "s1", "cand")).distinct()
-    pairs = rescored(rescored(pairs, both, w_all), name, w_name, "n")
-    pairs = pairs.join(by_name.select("s1", "cand", F.col("rank").alias("nrank")), ["s1", "cand"], "left")
+    toks = staged(views.select("code", "source", "country", F.array_union("ntok", "atok").alias("all"), text.name_keys(F.col("ntok_seq")).alias("name")))
+    both, name = (toks.select("code", "source", "country", F.col(c).alias("toks")) for c in ("all", "name"))
+    w_all, w_name = (staged(weighted(token_weights(c), df_cap, cap)) for c, cap in ((both, gen_cap), (name, name_gen_cap)))
+    # a token of `all` adds to shared and score, one of `name` to nshared and nscore; no pair is joined to its tokens again
+    one, none = F.lit(1), F.lit(0)
+    rows = matches(both, w_all).select("s1", "cands", "w", F.lit(0.0).alias("nw"), one.alias("a"), none.alias("n"))
+    rows = rows.union(matches(name, w_name).select("s1", "cands", F.lit(0.0), F.col("w"), none, one)).repartition("s1")
+    pairs = rows.select("s1", "w", "nw", "a", "n", F.explode("cands").alias("cand")).groupBy("s1", "cand").agg(F.sum("w").alias("score"), F.sum("a").alias("shared"), F.sum("nw").alias("nscore"), F.sum("n").alias("nshared"))
+    by_all, by_name = _kept("shared", "score", min_shared, RARE_SCORE), _kept("nshared", "nscore", min_shared, RARE_SCORE)
+    # a token over its cap makes no pair, but scores those of either channel
+    a_made, n_made = F.col("shared") > 0, F.col("nshared") > 0
+    pairs = pairs.withColumn("a_made", a_made).withColumn("n_made", n_made)
+    if gen_cap is not None and gen_cap < df_cap:
+        pairs = _with_common(pairs, both, w_all, "shared", "score")
+    if name_gen_cap is not None and name_gen_cap < df_cap:
+        pairs = _with_common(pairs, name, w_name, "nshared", "nscore")
+    pairs = pairs.withColumn("score", F.round("score", 6)).withColumn("nscore", F.round("nscore", 6))
+    by_all, by_name = by_all & F.col("a_made"), by_name & F.col("n_made")
+    place = lambda kept, score: F.row_number().over(W.partitionBy("s1").orderBy(F.desc(F.when(kept, F.col(score))), "cand"))
+    pairs = pairs.where(by_all | by_name).withColumn("at", F.when(by_all, place(by_all, "score"))).withColumn("nat", F.when(by_name, place(by_name, "nscore")))
+    pairs = pairs.where((F.col("at") <= topk) | (F.col("nat") <= name_topk))
     order = W.partitionBy("s1").orderBy(F.desc("score"), F.desc("nscore"), "cand")
-    return pairs.select("country", "s1", "cand", "score", "shared", (F.row_number().over(order) - 1).alias("rank"), "nscore", "nshared", F.coalesce("nrank", F.lit(NO_RANK)).alias("nrank"))
+    pairs = pairs.withColumn("rank", F.row_number().over(order) - 1).withColumn("nrank", F.when(F.col("nat") <= name_topk, F.col("nat") - 1).otherwise(NO_RANK))
+    return _country(pairs, toks).select("country", "s1", "cand", "score", "shared", "rank", "nscore", "nshared", "nrank")
 
 
 def contention(pairs: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def skeletons(toks: str) -> str:
 
 def ngrams(x: str) -> str:
     s = f"replace({norm(x)}, ' ', '')"
-    return f"case when {s} = '' then [] else list_distinct(list_transform(range(1, greatest(length({s}) - 2, 1) + 1), lambda g: substr({s}, g, 3))) end"
+    passes = [f"regexp_extract_all(substr({s}, {i}), '.{{3}}')" for i in (1, 2, 3)]
+    return f"case when {s} = '' then [] when length({s}) < 3 then [{s}] else list_distinct(list_concat(list_concat({passes[0]}, {passes[1]}), {passes[2]})) end"
 
 
 def script(x: str) -> str:
@@ -107,12 +108,15 @@ def sorted_set(toks: str) -> str:
     return f"array_to_string(list_sort(list_distinct({toks})), ' ')"
 
 
-ER = """er as (select (doc_id % 3 + 1) * 1000000000 + doc_id as code, cast(doc_id % 3 + 1 as integer) as source, coalesce(lang, '') as country,
-  substr(coalesce(text, ''), 1, 60) as name, substr(coalesce(text, ''), 61, 120) as address from documents)"""
+# the name is the first sentence or line (no look-ahead here: what follows it is matched and left out), the address the rest
+_FIRST = r"^([ \t\n\x0B\f\r]*[^\n]*?)(?:([.!?]+)[ \t\n\x0B\f\r]|\n|\z)"
+ER = f"""er as (select code, source, country, name, substr(t, length(name) + 1) as address from (
+  select (doc_id % 3 + 1) * 1000000000 + doc_id as code, cast(doc_id % 3 + 1 as integer) as source, coalesce(lang, '') as country,
+   coalesce(text, '') as t, regexp_extract(coalesce(text, ''), '{_FIRST}', 1) || regexp_extract(coalesce(text, ''), '{_FIRST}', 2) as name from documents))"""
 
 VIEWS = f"""{ER},
- seqs as (select *, {name_tokens('name')} as nseq, {tokens('address')} as aseq from er),
- v as (select code, source, country, name, address, nseq, aseq, {core('nseq')} as cseq, list_distinct(nseq) as ntok, list_distinct({core('nseq')}) as core, list_distinct(aseq) as atok,
+ seqs as materialized (select *, {name_tokens('name')} as nseq, {tokens('address')} as aseq from er),
+ v as materialized (select code, source, country, name, address, nseq, aseq, {core('nseq')} as cseq, list_distinct(nseq) as ntok, list_distinct({core('nseq')}) as core, list_distinct(aseq) as atok,
    {numeric('list_distinct(aseq)')} as num, {ngrams('name')} as ntri, {ngrams('address')} as atri, {script('name')} as script,
    {skeletons(core('nseq'))} as skel, {skeletons("list_filter(list_distinct(aseq), lambda q: not regexp_full_match(q, '[0-9]+'))")} as askel from seqs)"""
 
@@ -143,7 +147,7 @@ def pairs(topk: int = 50, name_topk: int = 25, gen_cap: int = 200_000) -> str:
     """CTEs up to `pairs`, the candidate table of both channels."""
     return f"""{VIEWS}, {channel('a', ALL_TOKENS, topk, gen_cap)}, {channel('n', NAME_TOKENS, name_topk, gen_cap)},
  u as (select country, s1, cand from b_a union select country, s1, cand from b_n),
- pairs as (select country, s1, cand, score, shared, row_number() over (partition by s1 order by score desc, nscore desc, cand) - 1 as rank, nscore, nshared, nrank from (
+ pairs as materialized (select country, s1, cand, score, shared, row_number() over (partition by s1 order by score desc, nscore desc, cand) - 1 as rank, nscore, nshared, nrank from (
    select u.country, u.s1, u.cand, coalesce(x.score, 0) as score, coalesce(x.shared, 0) as shared, coalesce(y.score, 0) as nscore, coalesce(y.shared, 0) as nshared, coalesce(b.rank, 999) as nrank
    from u left join {rescored('a', 'u')} x using (s1, cand) left join {rescored('n', 'u')} y using (s1, cand) left join b_n b using (s1, cand)))"""
 
@@ -152,6 +156,6 @@ SCORED = "scored as (select country, s1, cand, rank, round(score / (score + 50),
 
 CONTENTION = """meta as (select cand, max(score) as t_best, case when count(*) > 1 then list_sort(list(score), 'DESC')[2] else 0 end as t_second, count(*) as t_claims from pairs group by 1)"""
 
-VIEWED = """viewed as (select p.country, s1, cand, a.name as a_name, b.name as b_name, a.core as a_core, b.core as b_core, a.ntok as a_ntok, b.ntok as b_ntok, a.atok as a_atok, b.atok as b_atok,
+VIEWED = """viewed as materialized (select p.country, s1, cand, a.name as a_name, b.name as b_name, a.core as a_core, b.core as b_core, a.ntok as a_ntok, b.ntok as b_ntok, a.atok as a_atok, b.atok as b_atok,
    a.num as a_num, b.num as b_num, a.ntri as a_ntri, b.ntri as b_ntri, a.atri as a_atri, b.atri as b_atri, a.script as a_script, b.script as b_script, a.skel as a_skel, b.skel as b_skel,
    a.askel as a_askel, b.askel as b_askel from pairs p join v a on a.code = s1 join v b on b.code = cand)"""

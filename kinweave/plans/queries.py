@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import text
-from kinweave.operators import aliases, blocking, decide, expand, features, metrics, models, validate
+from kinweave.operators import aliases, blocking, decide, expand, features, metrics, models, validate, workflow
 from kinweave.plans import duck
+from kinweave.plans.staging import scratch_path, staged
 from kinweave.sources import er_view, tsv
+from kinweave.sources import pairs as pair_files
 from kinweave.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,19 +44,16 @@ def query(columns: str, sql: str | None = None):
     return add
 
 
-# whole: the record view of whole texts, for the queries that have no SQL
+def _records(spark, sf_dir):
+    return er_view.records(spark, sf_dir)
 
 
-def _records(spark, sf_dir, whole=False):
-    return er_view.records(spark, sf_dir, whole)
+def _views(spark, sf_dir):
+    return blocking.record_views(_records(spark, sf_dir))
 
 
-def _views(spark, sf_dir, whole=False):
-    return blocking.record_views(_records(spark, sf_dir, whole))
-
-
-def _pairs(spark, sf_dir, whole=False, **options):
-    return blocking.block(_views(spark, sf_dir, whole), **options)
+def _pairs(spark, sf_dir, **options):
+    return blocking.block(_views(spark, sf_dir), **options)
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -62,8 +61,8 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p", F.round(F.col("score") / (F.col("score") + 50), 6))
 
 
-def _truth(spark, sf_dir, whole=False):
-    return er_view.true_links(_records(spark, sf_dir, whole))
+def _truth(spark, sf_dir):
+    return er_view.true_links(_records(spark, sf_dir))
 
 
 def _entities(spark, sf_dir):
@@ -149,7 +148,7 @@ def canonical_tokens(spark, sf_dir):
 def normalize_unicode(spark, sf_dir):
     from kinweave.functions import unicode
 
-    r = _records(spark, sf_dir, whole=True).select("code", F.concat("name", "address").alias("text"))
+    r = _records(spark, sf_dir).select("code", F.concat("name", "address").alias("text"))
     return unicode.with_normalized(r, "text", "toks").select("code", "toks")
 
 
@@ -157,7 +156,7 @@ def normalize_unicode(spark, sf_dir):
 def romanized(spark, sf_dir):
     from kinweave.functions import unicode
 
-    return unicode.romanized_tokens(_records(spark, sf_dir, whole=True).select(F.explode(text.name_tokens(F.concat("name", "address"))).alias("token")))
+    return unicode.romanized_tokens(_records(spark, sf_dir).select(F.explode(text.name_tokens(F.concat("name", "address"))).alias("token")))
 
 
 # ---- blocking --------------------------------------------------------------------------------------------------------
@@ -171,22 +170,25 @@ def token_df_idf(spark, sf_dir):
 _PAIR = "country string, s1 long, cand long, shared long, score double, rank long"
 
 
-@query(_PAIR, f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 10)} select * from b_a")
+def _channel(spark, sf_dir, which, **caps):
+    """Tokens and weights of a channel, each kept, as a query reads them several times."""
+    c = staged(blocking.channel_tokens(_views(spark, sf_dir), which))
+    return c, staged(blocking.weighted(blocking.token_weights(c), **caps))
+
+
+@query(_PAIR, f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 50)} select * from b_a")
 def block_all_topk(spark, sf_dir):
-    c = blocking.channel_tokens(_views(spark, sf_dir), "all")
-    return blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 10)
+    return blocking.channel_pairs(*_channel(spark, sf_dir, "all"), blocking.TOPK, common=False)
 
 
 @query(_PAIR, f"with {duck.VIEWS}, {duck.channel('n', duck.NAME_TOKENS, 25)} select * from b_n")
 def block_name_topk(spark, sf_dir):
-    c = blocking.channel_tokens(_views(spark, sf_dir), "name")
-    return blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 25)
+    return blocking.channel_pairs(*_channel(spark, sf_dir, "name"), blocking.NAME_TOPK, common=False)
 
 
 @query(_PAIR, f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 50, 40)} select * from b_a")
 def block_two_tiers(spark, sf_dir):
-    c = blocking.channel_tokens(_views(spark, sf_dir), "all")
-    return blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c), gen_cap=40), 50)
+    return blocking.channel_pairs(*_channel(spark, sf_dir, "all", gen_cap=40), blocking.TOPK)
 
 
 _TABLE = "country string, s1 long, cand long, score double, shared long, rank long, nscore double, nshared long, nrank long"
@@ -209,9 +211,7 @@ def stored_sample(spark, sf_dir):
 
 @query("which string, n long", f"with {duck.pairs()} select 'union' as which, count(*) as n from u union all select 'intersect', count(*) from (select s1, cand from b_a intersect select s1, cand from b_n) union all select 'all_only', count(*) from (select s1, cand from b_a except select s1, cand from b_n) union all select 'name_only', count(*) from (select s1, cand from b_n except select s1, cand from b_a)")
 def channel_sets(spark, sf_dir):
-    v = _views(spark, sf_dir)
-    c = [blocking.channel_tokens(v, x) for x in ("all", "name")]
-    a, n = (blocking.channel_pairs(x, blocking.weighted(blocking.token_weights(x)), k).select("s1", "cand") for x, k in zip(c, (50, 25), strict=True))
+    a, n = (staged(blocking.channel_pairs(*_channel(spark, sf_dir, x), k, common=False).select("s1", "cand")) for x, k in (("all", 50), ("name", 25)))
     count = lambda df, which: df.agg(F.lit(which).alias("which"), F.count("*").alias("n"))
     return count(a.union(n).distinct(), "union").union(count(a.intersect(n), "intersect")).union(count(a.subtract(n), "all_only")).union(count(n.subtract(a), "name_only"))
 
@@ -228,8 +228,6 @@ _CONTEXT_SQL = f"""with {duck.pairs()}, {duck.CONTENTION},
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.CONTEXT), _CONTEXT_SQL)
 def context_features(spark, sf_dir):
-    from kinweave.plans.staging import staged
-
     p = staged(_pairs(spark, sf_dir))
     return features.context(p, blocking.contention(p))
 
@@ -247,12 +245,11 @@ def list_features(spark, sf_dir):
 
 
 def _viewed(spark, sf_dir, columns):
-    v = _views(spark, sf_dir)
-    c = blocking.channel_tokens(v, "all")
-    return features.with_views(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 10).select("country", "s1", "cand"), v, columns)
+    v = staged(_views(spark, sf_dir))
+    return features.with_views(blocking.block(v).select("country", "s1", "cand"), v, columns)
 
 
-_VIEWED = f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 10)}, pairs as (select * from b_a), {duck.VIEWED}"
+_VIEWED = f"with {duck.pairs()}, {duck.VIEWED}"
 _D = duck
 _SETS_SQL = f"""{_VIEWED}, y as (select *, {_D.containment('a_core', 'b_core')} as cc, {_D.containment('a_atok', 'b_atok')} as ac from viewed)
  select s1, cand, {_D.jaccard('a_core', 'b_core')} as name_core_jacc, cc as name_core_cont, {_D.jaccard('a_ntok', 'b_ntok')} as name_all_jacc, {_D.jaccard('a_ntri', 'b_ntri')} as name_tri_jacc,
@@ -274,7 +271,7 @@ def text_set_features(spark, sf_dir):
 
 @query("s1 long, cand long, name_ratio double, name_token_set double, name_partial double, name_skel_ratio double, name_compact_partial double, addr_token_set double")
 def fuzzy_features(spark, sf_dir):
-    v = _views(spark, sf_dir, whole=True)
+    v = staged(_views(spark, sf_dir))
     return features.text_fuzzy(features.with_views(blocking.block(v).select("country", "s1", "cand"), v, ("nstr", "skstr", "compact", "astr")))
 
 
@@ -327,26 +324,16 @@ def ambiguity_features(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """The whole candidate table with p, and its views."""
-    from kinweave.plans.staging import staged
-
-    v = _views(spark, sf_dir, whole=True)
+    v = staged(_views(spark, sf_dir))
     return _scored(staged(blocking.block(v))), v
 
 
-def _few(spark, sf_dir):
-    from kinweave.plans.staging import staged
-
-    v = _views(spark, sf_dir)
-    c = blocking.channel_tokens(v, "all")
-    return _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 10))), v
-
+_RANKED = f"with {duck.pairs()}, {duck.SCORED}, r as materialized (select s1, cand, p, row_number() over (partition by s1 order by p desc, cand) - 1 as pos from scored)"
 
-_FEW = f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 10)}, pairs as (select * from b_a), {duck.SCORED}"
 
-
-@query("s1 long, cand long, other long, p double, q double, pos long", f"{_FEW}, r as (select *, row_number() over (partition by s1 order by p desc, cand) - 1 as pos from scored) select a.s1, a.cand, b.cand as other, a.p, b.p as q, b.pos from scored a join r b on a.s1 = b.s1 and a.cand <> b.cand and b.pos < 8 and b.p >= 0.3 where a.p >= 0.02")
+@query("s1 long, cand long, other long, p double, q double, pos long", f"{_RANKED} select a.s1, a.cand, b.cand as other, a.p, b.p as q, b.pos from r a join (select * from r where pos < 8 and p >= 0.3) b on a.s1 = b.s1 and a.cand <> b.cand where a.p >= 0.02")
 def coherence_pairs(spark, sf_dir):
-    return features.supporters(_few(spark, sf_dir)[0])
+    return features.supporters(_candidates(spark, sf_dir)[0])
 
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.COHERENCE))
@@ -396,10 +383,8 @@ _F05 = """counts as (select e.code as s1, e.country, count(distinct l.cand) as p
  f as (select *, case when predicted = 0 and actual = 0 then 1.0 when hits = 0 then 0.0 else 1.25 * (hits / predicted) * (hits / actual) / (0.25 * (hits / predicted) + hits / actual) end as f05 from counts)"""
 
 
-def _decided(spark, sf_dir, whole=False):
-    from kinweave.plans.staging import staged
-
-    return staged(decide.assign(_scored(_pairs(spark, sf_dir, whole)), 0.6))
+def _decided(spark, sf_dir):
+    return staged(decide.assign(_scored(_pairs(spark, sf_dir)), 0.6))
 
 
 @query("entities long, macro_f05 double", f"{_ALL}, {_LINKS}, {_F05} select count(*) as entities, avg(f05) as macro_f05 from f")
@@ -435,15 +420,11 @@ def _sweep_sql(by: str) -> str:
 
 @query("threshold double, macro_f05 double", _sweep_sql(""))
 def threshold_sweep(spark, sf_dir):
-    from kinweave.plans.staging import staged
-
     return metrics.sweep(staged(_scored(_pairs(spark, sf_dir)).select("s1", "cand", "p")), _entities(spark, sf_dir), _truth(spark, sf_dir))
 
 
 @query("country string, threshold double, macro_f05 double", f"select country, threshold, macro_f05 from ({_sweep_sql('country')}) qualify row_number() over (partition by country order by round(macro_f05, 9) desc, threshold) = 1")
 def tuned_thresholds(spark, sf_dir):
-    from kinweave.plans.staging import staged
-
     s = metrics.sweep(staged(_scored(_pairs(spark, sf_dir)).select("s1", "cand", "p")), _entities(spark, sf_dir), _truth(spark, sf_dir), by="country")
     return metrics.best_threshold(s, "country")
 
@@ -456,8 +437,6 @@ def prefilter_quantile(spark, sf_dir):
 
 @query("k long, hits long, links long, pairs long, recall double", f"{_ALL}, k as (select unnest([1, 5, 10, 20, 50]) as k), l as (select truth.*, rank from truth left join pairs using (s1, cand)) select k, (select count(*) from l where rank < k) as hits, (select count(*) from l) as links, (select count(*) from pairs where rank < k) as pairs, cast((select count(*) from l where rank < k) as double) / greatest((select count(*) from l), 1) as recall from k")
 def recall_at_k(spark, sf_dir):
-    from kinweave.plans.staging import staged
-
     return metrics.recall_at(staged(_pairs(spark, sf_dir)), _truth(spark, sf_dir))
 
 
@@ -488,7 +467,7 @@ def oracle_f05(spark, sf_dir):
 
 @query("mean double, low double, high double")
 def bootstrap_interval(spark, sf_dir):
-    c = metrics.f05(metrics.entity_counts(_entities(spark, sf_dir), _decided(spark, sf_dir, whole=True), _truth(spark, sf_dir, whole=True)))
+    c = metrics.f05(metrics.entity_counts(_entities(spark, sf_dir), _decided(spark, sf_dir), _truth(spark, sf_dir)))
     return metrics.bootstrap(c.select("s1", F.col("f05").alias("delta")))
 
 
@@ -562,8 +541,6 @@ def dev_subset(spark, sf_dir):
 
 @query("s1 long, cand long, part long", f"{_ALL} select s1, cand, case when s1 % 4 = 0 then 2 else 1 end as part from pairs")
 def manifest_override(spark, sf_dir):
-    from kinweave.plans.staging import staged
-
     p = staged(_pairs(spark, sf_dir).select("s1", "cand"))
     return decide.latest([p.withColumn("part", F.lit(1)), p.where("s1 % 4 = 0").withColumn("part", F.lit(2))])
 
@@ -618,24 +595,19 @@ def alias_curate(spark, sf_dir):
     return aliases.curate(*_lexicons(spark))
 
 
-_EXPAND_SQL = f"""with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 5)}, links as (select s1, cand as member, round(score / (score + 50), 6) as p from b_a where round(score / (score + 50), 6) >= 0.6),
+_EXPAND_SQL = f"""with {duck.pairs()}, links as (select s1, cand as member, round(score / (score + 50), 6) as p from pairs where round(score / (score + 50), 6) >= 0.6),
  ks as (select country, code, unnest(['core', 'skel', 'compact']) as kind, unnest([{_D.sorted_set('core')}, {_D.sorted_set('skel')}, array_to_string(cseq, '')]) as value from v),
  kk as (select * from ks where length(value) >= 3), rare as (select country, kind, value, count(*) as freq from kk where code >= 2000000000 group by 1, 2, 3 having count(*) <= 20),
  ms as (select code as s1, code as member, 1.0 as p from v where source = 1 union all select * from links),
  fd as (select ms.s1, ms.member, ms.p, a.kind, freq, b.code as cand from ms join kk a on a.code = ms.member join rare using (country, kind, value) join kk b on b.country = a.country and b.kind = a.kind and b.value = a.value and b.code >= 2000000000 and b.code <> ms.member),
- nw as (select * from fd anti join (select s1, cand from b_a) using (s1, cand)),
+ nw as (select * from fd anti join (select s1, cand from pairs) using (s1, cand)),
  ag as (select s1, cand, {", ".join(f"max(cast(s1 {'=' if side == 's1' else '<>'} member and kind = '{k}' as integer)) as hit_{k}_{side}" for side in ("s1", "m") for k in expand.KINDS)},
    count(distinct case when s1 <> member then member end) as n_member_hits, min(freq) as min_freq, coalesce(max(case when s1 <> member then p end), 0) as best_member_p from nw group by 1, 2)
  select * from ag qualify row_number() over (partition by s1 order by min_freq, cand) <= 30"""
 
 
 def _expanded(spark, sf_dir, pairs=None, v=None):
-    from kinweave.plans.staging import staged
-
-    if pairs is None:
-        v = _views(spark, sf_dir)
-        c = blocking.channel_tokens(v, "all")
-        pairs = _scored(staged(blocking.channel_pairs(c, blocking.weighted(blocking.token_weights(c)), 5)))
+    pairs, v = _candidates(spark, sf_dir) if pairs is None else (pairs, v)
     seeds = pairs.where("p >= 0.6").select("s1", F.col("cand").alias("member"), "p")
     return expand.generate(v, seeds, pairs), pairs, seeds, v
 
@@ -652,7 +624,7 @@ def expansion_features(spark, sf_dir):
     return out.join(expand.member_similarities(found, seeds, v), ["s1", "cand"])
 
 
-@query("s1 long, cand long, p double", f"select s1, cand, p from (select *, round(n_member_hits / (n_member_hits + 1), 6) as p from ({_EXPAND_SQL})) where p >= 0.5 and cand not in (select cand from (with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 5)} select cand from b_a where round(score / (score + 50), 6) >= 0.6)) qualify row_number() over (partition by cand order by p desc, s1) = 1")
+@query("s1 long, cand long, p double", f"select s1, cand, p from (select *, round(n_member_hits / (n_member_hits + 1), 6) as p from ({_EXPAND_SQL})) where p >= 0.5 and cand not in (select cand from (with {duck.pairs()} select cand from pairs where round(score / (score + 50), 6) >= 0.6)) qualify row_number() over (partition by cand order by p desc, s1) = 1")
 def expansion_accept(spark, sf_dir):
     found, _, seeds, _ = _expanded(spark, sf_dir)
     scored = found.withColumn("p", F.round(F.col("n_member_hits") / (F.col("n_member_hits") + 1), 6))
@@ -664,7 +636,7 @@ def expansion_accept(spark, sf_dir):
 
 @query("s1 long, cand long, p double")
 def classifier_pairs(spark, sf_dir):
-    return models.demo(_pairs(spark, sf_dir, whole=True), _truth(spark, sf_dir, whole=True))
+    return models.demo(_pairs(spark, sf_dir), _truth(spark, sf_dir))
 
 
 _BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
@@ -672,9 +644,7 @@ _BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
 
 def _matrix(spark, sf_dir):
     """Labelled candidate pairs with base features: the input of the learned operators."""
-    from kinweave.plans.staging import staged
-
-    return staged(models.labelled(_pairs(spark, sf_dir, whole=True), _truth(spark, sf_dir, whole=True)))
+    return staged(models.labelled(_pairs(spark, sf_dir), _truth(spark, sf_dir)))
 
 
 @query("s1 long, cand long, y long, fold long, p double")
@@ -684,30 +654,169 @@ def out_of_fold_scores(spark, sf_dir):
 
 @query("s1 long, cand long, p double, q double")
 def calibrated_scores(spark, sf_dir):
-    data = _matrix(spark, sf_dir)
-    return models.calibrate(models.score(models.fit(data, _BASE_FEATURES), data, _BASE_FEATURES))
+    """Out-of-fold scores, calibrated by the other half of the entities."""
+    scored = staged(models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES))
+    halves = [scored.where(models.fold_of("s1", 2, 11) == k) for k in (0, 1)]
+    parts = [workflow.calibrated(b.select("s1", "cand", "p"), workflow.isotonic(a)).withColumnRenamed("p", "q") for a, b in (halves, halves[::-1])]
+    return scored.select("s1", "cand", "p").join(parts[0].unionByName(parts[1]), ["s1", "cand"])
 
 
 @query("s1 long, cand long, p double")
 def trained_links(spark, sf_dir):
     data = _matrix(spark, sf_dir)
-    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir, whole=True), _BASE_FEATURES, context=["score", "rank"])
+    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir), _BASE_FEATURES, context=["score", "rank"])
     return models.predict(bundle, data, shift=0.01)
 
 
-@query("s1 long, cand long, p1 double, coh_n_strong double, num_exact_shared double, p2 double")
+def _oof(spark, sf_dir):
+    """The labelled matrix, its views, and each pair's p from models that never saw its entity."""
+    v = staged(_views(spark, sf_dir))
+    data = staged(models.labelled(blocking.block(v), _truth(spark, sf_dir)))
+    return staged(models.out_of_fold(data, _BASE_FEATURES)), v
+
+
+@query("country string, s1 long, cand long, p1 double, p double")
 def second_stage_scores(spark, sf_dir):
+    """The second stage, trained on out-of-fold p1 and scored for the held-out entities it wasn't fitted on, and all others."""
+    data, v = _oof(spark, sf_dir)
+    second = workflow.train_second(data, v, _entities(spark, sf_dir), _truth(spark, sf_dir), _BASE_FEATURES)
+    first = models.Bundle(models.fit(data, _BASE_FEATURES), _BASE_FEATURES)
+    return workflow.predict_second(first, second, data.drop("p"), v)[1]
+
+
+@query("s1 long, cand long, p double, new boolean")
+def expansion_links(spark, sf_dir):
+    """Links of out-of-fold scores with the generated ones that a trained expansion model accepts."""
+    data, v = _oof(spark, sf_dir)
+    scored = data.select("s1", "cand", "p")
+    links = staged(decide.assign(scored, workflow.SEED_P))
+    model = workflow.train_expansion(scored, v, _entities(spark, sf_dir), _truth(spark, sf_dir))
+    return links.withColumn("new", F.lit(False)) if model is None else workflow.predict_expansion(model, scored, links, v)
+
+
+@query("s1 long, cand long, p double")
+def refitted_links(spark, sf_dir):
+    """Thresholds and prefilter measured on held-out entities, the model fitted again on all pairs."""
     data = _matrix(spark, sf_dir)
-    scored = models.score(models.fit(data, _BASE_FEATURES), data, _BASE_FEATURES).select("s1", "cand", "p")
-    matrix, names = models.second_stage(scored, data, _views(spark, sf_dir, whole=True), _BASE_FEATURES)
-    return models.score(models.fit(matrix, names), matrix, names, "p2")
+    bundle = models.train(data, _entities(spark, sf_dir), _truth(spark, sf_dir), _BASE_FEATURES, context=["score", "rank"])
+    kept = staged(models.prefiltered(data, bundle.prefilter).drop("p1"))
+    return models.predict(workflow.refit(bundle, kept, bundle.prefilter_digest), kept, manifest_digest=bundle.prefilter_digest)
+
+
+_AUDIT_SQL = f"""{_ALL}, a as (select *, rank < 20 as keep from scored),
+ e0 as (select distinct s1 from scored join v on v.code = cand where len(v.atok) = 0),
+ l as (select 'unfiltered' as variant, s1, cand from a where p >= 0.6 qualify row_number() over (partition by cand order by p desc, s1) = 1
+   union all select 'prefiltered', s1, cand from a where p >= 0.6 and keep qualify row_number() over (partition by cand order by p desc, s1) = 1),
+ g as (select * from (values ('unfiltered'), ('prefiltered')) t(variant)),
+ n as (select g.variant, e.code as s1, (select count(*) from truth where truth.s1 = e.code) as actual from (select code from er where source = 1) e cross join g),
+ h as (select l.variant, l.s1, count(*) as predicted, count(truth.cand) as hits from l left join truth using (s1, cand) group by 1, 2),
+ c as (select n.*, coalesce(predicted, 0) as predicted, coalesce(hits, 0) as hits, e0.s1 is not null as empty from n left join h using (variant, s1) left join e0 on e0.s1 = n.s1),
+ f as (select *, case when predicted = 0 and actual = 0 then 1.0 when hits = 0 then 0.0 else 1.25 * (hits / predicted) * (hits / actual) / (0.25 * (hits / predicted) + hits / actual) end as f05 from c)
+ select variant, avg(f05) as macro_f05, count(*) filter (where actual = 0 and predicted > 0) as false_singleton_merges, sum(predicted - hits) as false_links, sum(actual - hits) as missed_links,
+  coalesce(avg(f05) filter (where empty), 0) as empty_f05, count(*) filter (where empty) as empty_entities from f group by variant"""
+
+
+@query("variant string, macro_f05 double, false_singleton_merges long, false_links long, missed_links long, empty_f05 double, empty_entities long", _AUDIT_SQL)
+def prefilter_audit(spark, sf_dir):
+    pairs, v = _candidates(spark, sf_dir)
+    scored = pairs.join(v.select(F.col("code").alias("cand"), (F.size("atok") == 0).cast("int").alias("addr_empty_cand")), "cand").withColumn("keep", F.col("rank") < 20)
+    return workflow.audit(staged(scored.select("s1", "cand", "p", "keep", "addr_empty_cand")), 0.6, _entities(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query("country string, rate double, macro_f05 double")
+def rate_grid(spark, sf_dir):
+    """Macro F0.5 of expected-F0.5 decoding at every rate of unseen links, by country."""
+    return metrics.rate_sweep(_candidates(spark, sf_dir)[0].select("s1", "cand", "p"), _entities(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query("s1 long, cand long, y long, " + ", ".join(f"{c} double" for c in (*features.CONTEXT, *_SET_NAMES)), f"{_ALL} select x.*, y.* exclude (s1, cand), cast(truth.cand is not null as integer) as y from ({_CONTEXT_SQL}) x join ({_SETS_SQL}) y using (s1, cand) left join truth using (s1, cand)")
+def built_matrix(spark, sf_dir):
+    """The labelled pair matrix, written with its manifest and read again (context and text sets; SQL has no fuzzy ratios)."""
+    v = staged(_views(spark, sf_dir))
+    pairs = staged(blocking.block(v))
+    path = scratch_path(spark, "built")
+    pair_files.save_matrix(workflow.build(pairs, blocking.contention(pairs), v, _truth(spark, sf_dir)), _entities(spark, sf_dir), [*features.CONTEXT, *_SET_NAMES, *workflow.FUZZY], path)
+    return pair_files.load_matrix(spark, path)
+
+
+# ---- files -----------------------------------------------------------------------------------------------------------
+
+
+def _lines(df: DataFrame, path: str, columns: str) -> str:
+    """df as a file of tab-separated lines with a header."""
+    tsv.write_tsv(df.selectExpr(*columns.split(";")), path)
+    return path
+
+
+@query("code long, source long, entity_id string, name string, address string, country string", "select 1000000000 + s_suppkey as code, 1 as source, 'S1-' || s_suppkey as entity_id, s_name as name, '' as address, cast(s_nationkey as varchar) as country from supplier union all select 2000000000 + c_custkey, 2, 'S2-' || c_custkey, c_name, c_mktsegment, cast(c_nationkey as varchar) from customer union all select 3000000000 + p_partkey, 3, 'S3-' || p_partkey, p_name, p_brand || ' ' || p_type, 'none' from part")
+def source_records(spark, sf_dir):
+    """Three source files, written as lines and read again."""
+    path = scratch_path(spark, "sources")
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    _lines(t("supplier"), f"{path}/all_source1.tsv", "concat('S1-', s_suppkey) as entity_id;s_name as name;'' as address;cast(s_nationkey as string) as country")
+    _lines(t("customer"), f"{path}/all_source2.tsv", "concat('S2-', c_custkey) as entity_id;c_name as name;c_mktsegment as address;cast(c_nationkey as string) as country")
+    _lines(t("part"), f"{path}/all_source3.tsv", "concat('S3-', p_partkey) as entity_id;p_name as name;concat(p_brand, ' ', p_type) as address;'none' as country")
+    return tsv.read_sources(spark, path, "all")
+
+
+@query("s1 long, cand long", "select 1000000000 + c_nationkey as s1, 2000000000 + c_custkey as cand from customer")
+def link_lists(spark, sf_dir):
+    """Lists of customers by nation as a ground-truth file, read as links."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("1000000000L + c_nationkey as s1", "2000000000L + c_custkey as cand")
+    path = scratch_path(spark, "links")
+    tsv.write_tsv(tsv.matching_lists(c.select("s1").distinct(), c), path)
+    return tsv.read_links(spark, path)[0]
+
+
+@query("entity_id string", "select distinct 'S2-' || c_custkey as entity_id from customer")
+def id_set(spark, sf_dir):
+    path = scratch_path(spark, "ids")
+    _lines(spark.read.parquet(f"{sf_dir}/customer.parquet"), path, "concat(' S2-', c_custkey, ' ') as entity_id;c_name as name;'' as address;'' as country")
+    return tsv.read_ids(spark, path)
+
+
+@query("variant string, canonical string, score double, count long", "select lower(p_name) as variant, min(p_brand) as canonical, 0.5 as score, 7 as count from part group by 1")
+def alias_file(spark, sf_dir):
+    """A lexicon written as lines and read again."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.lower("p_name").alias("variant")).agg(F.min("p_brand").alias("canonical"))
+    path = scratch_path(spark, "aliases")
+    part.select(F.concat_ws("\t", "variant", "canonical", F.lit("0.5"), F.lit("7"))).write.text(path)
+    return tsv.read_aliases(spark, path)
+
+
+@query(_TABLE, f"with {duck.pairs()} select * from pairs")
+def pair_sidecar(spark, sf_dir):
+    """The candidate table, written as a sidecar and read again with its contention."""
+    p = staged(_pairs(spark, sf_dir))
+    path = scratch_path(spark, "run.tsv")
+    pair_files.save_pairs(p, blocking.contention(p), path)
+    pairs, meta = pair_files.load_pairs(spark, path)
+    return pairs.join(meta.select("cand"), "cand", "left_semi")
+
+
+@query("code long, toks string", f"with {duck.VIEWS} select code, {_D.sorted_set(duck.ALL_TOKENS)} as toks from v")
+def token_cache(spark, sf_dir):
+    path = scratch_path(spark, "cache")
+    pair_files.save_tokens(blocking.channel_tokens(_views(spark, sf_dir), "all"), path)
+    return pair_files.load_tokens(spark, path).select("code", _set(F.col("toks")).alias("toks"))
+
+
+@query("s1 long, cand long, part long", f"{_ALL} select s1, cand, case when s1 % 4 = 0 then 2 else 1 end as part from pairs where s1 % 4 <> 0 or s1 % 8 = 0")
+def manifest_files(spark, sf_dir):
+    """Two matrices with manifests; the second names every fourth entity and has rows of every eighth alone."""
+    p = staged(_pairs(spark, sf_dir).select("country", "s1", "cand"))
+    e = _entities(spark, sf_dir)
+    paths = [scratch_path(spark, f"part{i}") for i in (1, 2)]
+    pair_files.save_matrix(p.withColumn("part", F.lit(1)), e, ["part"], paths[0])
+    pair_files.save_matrix(p.where("s1 % 8 = 0").withColumn("part", F.lit(2)), e.where("s1 % 4 = 0"), ["part"], paths[1])
+    return pair_files.load_latest(spark, paths)
 
 
 @query("variant string, canonical string, score double, count long")
 def alias_bootstrap(spark, sf_dir):
     """Aliases mined from confident links of unlabelled data, added to a base lexicon."""
-    sure = _decided(spark, sf_dir, whole=True).where("p >= 0.7").select("s1", "cand")
-    seqs = _records(spark, sf_dir, whole=True).select("code", "source", text.name_tokens(F.col("name")).alias("name_seq"), text.tokens(F.col("address")).alias("addr_seq"))
+    sure = _decided(spark, sf_dir).where("p >= 0.7").select("s1", "cand")
+    seqs = _records(spark, sf_dir).select("code", "source", text.name_tokens(F.col("name")).alias("name_seq"), text.tokens(F.col("address")).alias("addr_seq"))
     return aliases.merge(_lexicons(spark)[0], aliases.mine(seqs.where("source = 1"), sure, seqs, latin_factor=1, min_count=2))
 
 
@@ -716,3 +825,11 @@ def stream_contention(spark, sf_dir):
     return incremental.contention_of_stream(_pairs(spark, sf_dir))
 
 
+@query("s1 long, cand long, shared long, score double", f"with {duck.VIEWS}, {duck.channel('a', duck.ALL_TOKENS, 50)} select s1, cand, count(*) as shared, round(sum(w), 6) as score from q_a join w_a using (country, token) join t_a using (country, token) group by 1, 2 having count(*) >= 2")
+def stream_candidates(spark, sf_dir):
+    """Entities arrive as a stream of files and meet the standing postings."""
+    c, w = _channel(spark, sf_dir, "all")
+    path = scratch_path(spark, "arriving")
+    c.where("source = 1").select(F.col("code").alias("s1"), "country", "toks").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("s1 long, country string, toks array<string>").option("maxFilesPerTrigger", 64).parquet(f"{path}/in")
+    return incremental.candidates_into(stream, staged(blocking.postings(c, False)), w, path).where("shared >= 2")

@@ -9,22 +9,19 @@ from kinweave.functions.text import CODE, decode_id
 
 
 #: The first sentence or line of a text, white space before it included.
-FIRST = r"^\s*[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\z)"
+FIRST = r"^[ \t\n\x0B\f\r]*[^\n]*?(?:[.!?]+(?=[ \t\n\x0B\f\r])|(?=\n)|\z)"
 
 
-def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, source, entity_id, country, name, address of every document.
 
-    whole: the name is the first sentence or line and the address all of the rest, so that both together are the text.
-    Otherwise they are the characters 1 to 60 and 61 to 180, as in the SQL of `plans/duck.py`.
+    The name is the first sentence or line and the address all of the rest, so that both together are the whole text.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = (F.col("doc_id") % 3 + 1).cast("int")
     t = F.coalesce("text", F.lit(""))
-    name, address = F.substring(t, 1, 60), F.substring(t, 61, 120)
-    if whole:
-        name = F.regexp_extract(t, FIRST, 0)
-        address = F.substr(t, F.length(name) + 1)
+    name = F.regexp_extract(t, FIRST, 0)
+    address = F.substr(t, F.length(name) + 1)
     out = docs.select(
         (source.cast("long") * CODE + F.col("doc_id")).alias("code"), source.alias("source"), F.coalesce("lang", F.lit("")).alias("country"),
         name.alias("name"), address.alias("address"),

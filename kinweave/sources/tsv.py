@@ -88,11 +88,6 @@ def write_tsv(df: DataFrame, path: str, files: int | None = None) -> None:
     (df if files is None else df.coalesce(files)).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
-def write_pairs(pairs: DataFrame, path: str) -> None:
-    """The candidate sidecar: an entity's list stays together, in rank order, by country."""
-    pairs.repartition("country", "s1").sortWithinPartitions("s1", "rank").write.mode("overwrite").option("maxRecordsPerFile", 2_000_000).partitionBy("country").parquet(path)
-
-
 def country_subset(records: DataFrame, country: str) -> DataFrame:
     return records.where(F.col("country") == country)
 

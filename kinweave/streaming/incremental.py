@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.plans.staging import scratch_path
+
 
 def contention(stream: DataFrame) -> DataFrame:
     """cand, t_best, t_claims of the claims so far; both merge in parts, so the state of a target is two numbers."""
@@ -56,17 +58,26 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> Data
     return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; in a temporary one where that is unset, as in tests."""
-    import tempfile
+def candidates_into(stream: DataFrame, postings: DataFrame, weights: DataFrame, folder: str) -> DataFrame:
+    """s1, cand, shared, score of arriving records (s1, country, toks) against a table of postings (country, token, cand).
+
+    A stream-static join: each batch of records meets the postings of its tokens alone and leaves a part of the table.
+    """
+    spark = stream.sparkSession
+    tokens = stream.select("s1", "country", F.explode("toks").alias("token")).join(weights.select("country", "token", "w"), ["country", "token"])
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinweave_stream")
-    return f"{base.rstrip('/')}/kinweave/{uuid.uuid4().hex}"
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = candidates_of_stream(batch, postings).groupBy("s1", "cand").agg(F.count("*").alias("shared"), F.round(F.sum("w"), 6).alias("score"))
+        rows.write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    q = tokens.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("s1 long, cand long, shared long, score double").parquet(f"{folder}/parts/*")
 
 
 def contention_of_stream(pairs: DataFrame) -> DataFrame:
     """contention() of a candidate table that is read as a stream of its files."""
-    spark, folder = pairs.sparkSession, shared_folder(pairs.sparkSession)
+    spark, folder = pairs.sparkSession, scratch_path(pairs.sparkSession, "stream")
     pairs.select("s1", "cand", "score").write.parquet(f"{folder}/pairs")
     stream = spark.readStream.schema("s1 long, cand long, score double").option("maxFilesPerTrigger", 64).parquet(f"{folder}/pairs")
     return run_to_table(contention(stream), f"{folder}/out")

@@ -18,7 +18,7 @@ def small(spark, tmp_path_factory):
 
 
 def test_record_view_keeps_whole_texts(spark, small):
-    got = {r["code"] % 10**9: (r["name"], r["address"]) for r in er_view.records(spark, small, whole=True).collect()}
+    got = {r["code"] % 10**9: (r["name"], r["address"]) for r in er_view.records(spark, small).collect()}
     assert all(a + b == (TEXTS[i] or "") for i, (a, b) in got.items()) and len(got) == len(TEXTS)
     assert got[0][0] == "Blue Harbour Trading Company." and got[5][0] == "\n\nno first line" and got[6] == ("one line", "") and got[7][0] == "Ends."
 
@@ -49,7 +49,7 @@ def wide(spark, tmp_path_factory):
 def candidates(spark, path):
     from kinweave.operators import blocking
 
-    r = er_view.records(spark, path, whole=True)
+    r = er_view.records(spark, path)
     return blocking.block(blocking.record_views(r)), er_view.true_links(r)
 
 
