@@ -48,12 +48,23 @@ def _records(spark, sf_dir):
     return er_view.records(spark, sf_dir)
 
 
+_tables: dict[tuple, DataFrame] = {}
+
+
+def _kept(spark, sf_dir, name, make):
+    """A table that many queries start from, described once for a session and kept by Spark until its cache is cleared."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = make()
+    return staged(_tables[key])
+
+
 def _views(spark, sf_dir):
-    return blocking.record_views(_records(spark, sf_dir))
+    return _kept(spark, sf_dir, "views", lambda: blocking.record_views(_records(spark, sf_dir)))
 
 
-def _pairs(spark, sf_dir, **options):
-    return blocking.block(_views(spark, sf_dir), **options)
+def _pairs(spark, sf_dir):
+    return _kept(spark, sf_dir, "pairs", lambda: blocking.block(_views(spark, sf_dir)))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -172,7 +183,7 @@ _PAIR = "country string, s1 long, cand long, shared long, score double, rank lon
 
 def _channel(spark, sf_dir, which, **caps):
     """Tokens and weights of a channel, each kept, as a query reads them several times."""
-    c = staged(blocking.channel_tokens(_views(spark, sf_dir), which))
+    c = _kept(spark, sf_dir, f"{which}_tokens", lambda: blocking.channel_tokens(_views(spark, sf_dir), which))
     return c, staged(blocking.weighted(blocking.token_weights(c), **caps))
 
 
@@ -228,7 +239,7 @@ _CONTEXT_SQL = f"""with {duck.pairs()}, {duck.CONTENTION},
 
 @query("s1 long, cand long, " + ", ".join(f"{c} double" for c in features.CONTEXT), _CONTEXT_SQL)
 def context_features(spark, sf_dir):
-    p = staged(_pairs(spark, sf_dir))
+    p = _pairs(spark, sf_dir)
     return features.context(p, blocking.contention(p))
 
 
@@ -245,8 +256,8 @@ def list_features(spark, sf_dir):
 
 
 def _viewed(spark, sf_dir, columns):
-    v = staged(_views(spark, sf_dir))
-    return features.with_views(blocking.block(v).select("country", "s1", "cand"), v, columns)
+    v = _views(spark, sf_dir)
+    return features.with_views(_pairs(spark, sf_dir).select("country", "s1", "cand"), v, columns)
 
 
 _VIEWED = f"with {duck.pairs()}, {duck.VIEWED}"
@@ -271,8 +282,8 @@ def text_set_features(spark, sf_dir):
 
 @query("s1 long, cand long, name_ratio double, name_token_set double, name_partial double, name_skel_ratio double, name_compact_partial double, addr_token_set double")
 def fuzzy_features(spark, sf_dir):
-    v = staged(_views(spark, sf_dir))
-    return features.text_fuzzy(features.with_views(blocking.block(v).select("country", "s1", "cand"), v, ("nstr", "skstr", "compact", "astr")))
+    v = _views(spark, sf_dir)
+    return features.text_fuzzy(features.with_views(_pairs(spark, sf_dir).select("country", "s1", "cand"), v, ("nstr", "skstr", "compact", "astr")))
 
 
 _RUNS = lambda s: f"list_distinct(flatten(list_transform({s}_atok, lambda t: regexp_extract_all(t, '[0-9]+'))))"
@@ -324,8 +335,8 @@ def ambiguity_features(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """The whole candidate table with p, and its views."""
-    v = staged(_views(spark, sf_dir))
-    return _scored(staged(blocking.block(v))), v
+    v = _views(spark, sf_dir)
+    return _scored(_pairs(spark, sf_dir)), v
 
 
 _RANKED = f"with {duck.pairs()}, {duck.SCORED}, r as materialized (select s1, cand, p, row_number() over (partition by s1 order by p desc, cand) - 1 as pos from scored)"
@@ -437,7 +448,7 @@ def prefilter_quantile(spark, sf_dir):
 
 @query("k long, hits long, links long, pairs long, recall double", f"{_ALL}, k as (select unnest([1, 5, 10, 20, 50]) as k), l as (select truth.*, rank from truth left join pairs using (s1, cand)) select k, (select count(*) from l where rank < k) as hits, (select count(*) from l) as links, (select count(*) from pairs where rank < k) as pairs, cast((select count(*) from l where rank < k) as double) / greatest((select count(*) from l), 1) as recall from k")
 def recall_at_k(spark, sf_dir):
-    return metrics.recall_at(staged(_pairs(spark, sf_dir)), _truth(spark, sf_dir))
+    return metrics.recall_at(_pairs(spark, sf_dir), _truth(spark, sf_dir))
 
 
 @query("links long, by_name long, by_either long, missed long", f"{_ALL} select count(*) as links, count(*) filter (where nrank < 999) as by_name, count(nrank) as by_either, count(*) - count(nrank) as missed from truth left join pairs using (s1, cand)")
@@ -644,18 +655,18 @@ _BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
 
 def _matrix(spark, sf_dir):
     """Labelled candidate pairs with base features: the input of the learned operators."""
-    return staged(models.labelled(_pairs(spark, sf_dir), _truth(spark, sf_dir)))
+    return _kept(spark, sf_dir, "matrix", lambda: models.labelled(_pairs(spark, sf_dir), _truth(spark, sf_dir)))
 
 
 @query("s1 long, cand long, y long, fold long, p double")
 def out_of_fold_scores(spark, sf_dir):
-    return models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES)
+    return _oof(spark, sf_dir)[0]
 
 
 @query("s1 long, cand long, p double, q double")
 def calibrated_scores(spark, sf_dir):
     """Out-of-fold scores, calibrated by the other half of the entities."""
-    scored = staged(models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES))
+    scored = _oof(spark, sf_dir)[0]
     halves = [scored.where(models.fold_of("s1", 2, 11) == k) for k in (0, 1)]
     parts = [workflow.calibrated(b.select("s1", "cand", "p"), workflow.isotonic(a)).withColumnRenamed("p", "q") for a, b in (halves, halves[::-1])]
     return scored.select("s1", "cand", "p").join(parts[0].unionByName(parts[1]), ["s1", "cand"])
@@ -670,9 +681,8 @@ def trained_links(spark, sf_dir):
 
 def _oof(spark, sf_dir):
     """The labelled matrix, its views, and each pair's p from models that never saw its entity."""
-    v = staged(_views(spark, sf_dir))
-    data = staged(models.labelled(blocking.block(v), _truth(spark, sf_dir)))
-    return staged(models.out_of_fold(data, _BASE_FEATURES)), v
+    v = _views(spark, sf_dir)
+    return _kept(spark, sf_dir, "out_of_fold", lambda: models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES)), v
 
 
 @query("country string, s1 long, cand long, p1 double, p double")
@@ -732,8 +742,8 @@ def rate_grid(spark, sf_dir):
 @query("s1 long, cand long, y long, " + ", ".join(f"{c} double" for c in (*features.CONTEXT, *_SET_NAMES)), f"{_ALL} select x.*, y.* exclude (s1, cand), cast(truth.cand is not null as integer) as y from ({_CONTEXT_SQL}) x join ({_SETS_SQL}) y using (s1, cand) left join truth using (s1, cand)")
 def built_matrix(spark, sf_dir):
     """The labelled pair matrix, written with its manifest and read again (context and text sets; SQL has no fuzzy ratios)."""
-    v = staged(_views(spark, sf_dir))
-    pairs = staged(blocking.block(v))
+    v = _views(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
     path = scratch_path(spark, "built")
     pair_files.save_matrix(workflow.build(pairs, blocking.contention(pairs), v, _truth(spark, sf_dir)), _entities(spark, sf_dir), [*features.CONTEXT, *_SET_NAMES, *workflow.FUZZY], path)
     return pair_files.load_matrix(spark, path)
@@ -787,7 +797,7 @@ def alias_file(spark, sf_dir):
 @query(_TABLE, f"with {duck.pairs()} select * from pairs")
 def pair_sidecar(spark, sf_dir):
     """The candidate table, written as a sidecar and read again with its contention."""
-    p = staged(_pairs(spark, sf_dir))
+    p = _pairs(spark, sf_dir)
     path = scratch_path(spark, "run.tsv")
     pair_files.save_pairs(p, blocking.contention(p), path)
     pairs, meta = pair_files.load_pairs(spark, path)
