@@ -1,6 +1,11 @@
 """A training corpus in five stages: toxicity, near-duplicates, benchmark passages, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+
+In every stage a null text counts as empty and stays null; empty and null texts are neither copies nor passages nor
+personal data and have no tokens; whether they are toxic the classifier's bias says. Rows of a null id are kept as they
+are by near_dup, rows of equal id that differ in their texts stand for themselves but are dropped together. Further
+columns, whatever they are called, go through all stages but the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, decontaminate, near_dup, pii, toxicity
 from kinweave.llm.common import mod_crc, table
-from kinweave.llm.shared import stored
+from kinweave.llm.shared import forget, scratch, stored
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -58,8 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is stored before the next one reads it several times."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what a stage returns is stored before the next one reads it several times.
+
+    What a stage stored on its way is deleted when its result has been written, and that result when the next one has.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
