@@ -117,12 +117,14 @@ def supporters(scored: DataFrame) -> DataFrame:
 
 
 def _supported(scored: DataFrame, views: DataFrame) -> DataFrame:
+    """supporters() with the likeness of both records, which two records have once, however many entities list them."""
     cols = ("ntri", "num", "nstr", "astr", "atok")
-    pairs = supporters(scored)
-    a = views.select(F.col("code").alias("cand"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = views.select(F.col("code").alias("other"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    both = pairs.join(a, "cand").join(b, "other")
-    return both.select("s1", "cand", "q", "pos", fuzzy.fuzzy_token_set(*_ab("nstr")).alias("name_sim"), fuzzy.fuzzy_token_set(*_ab("astr")).alias("addr_sim"), text.jaccard(*_ab("ntri")).alias("tri"), _disjoint(*_ab("num")).alias("conflict"), (_some(F.col("a_atok")) & _some(F.col("b_atok"))).alias("addresses"))
+    pairs = supporters(scored).withColumn("low", F.least("cand", "other")).withColumn("high", F.greatest("cand", "other"))
+    a = views.select(F.col("code").alias("low"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = views.select(F.col("code").alias("high"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    both = pairs.select("low", "high").distinct().join(a, "low").join(b, "high")
+    like = both.select("low", "high", fuzzy.fuzzy_token_set(*_ab("nstr")).alias("name_sim"), fuzzy.fuzzy_token_set(*_ab("astr")).alias("addr_sim"), text.jaccard(*_ab("ntri")).alias("tri"), _disjoint(*_ab("num")).alias("conflict"), (_some(F.col("a_atok")) & _some(F.col("b_atok"))).alias("addresses"))
+    return pairs.join(like, ["low", "high"]).select("s1", "cand", "q", "pos", "name_sim", "addr_sim", "tri", "conflict", "addresses")
 
 
 def coherence(scored: DataFrame, views: DataFrame) -> DataFrame:
