@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import text
 from kinweave.operators import aliases, blocking, decide, expand, features, metrics, models, validate, workflow
 from kinweave.plans import duck
-from kinweave.plans.staging import scratch_path, staged
+from kinweave.plans.staging import scratch_path, staged, written
 from kinweave.sources import er_view, tsv
 from kinweave.sources import pairs as pair_files
 from kinweave.streaming import incremental
@@ -59,6 +59,11 @@ def _kept(spark, sf_dir, name, make):
     return staged(_tables[key])
 
 
+def clear_tables() -> None:
+    """Forget the tables that queries share, so that each is made again for the next query."""
+    _tables.clear()
+
+
 def _views(spark, sf_dir):
     return _kept(spark, sf_dir, "views", lambda: blocking.record_views(_records(spark, sf_dir)))
 
@@ -664,7 +669,7 @@ _BASE_FEATURES = ["score", "shared", "rank", "nscore", "nshared", "nrank"]
 
 def _matrix(spark, sf_dir):
     """Labelled candidate pairs with base features: the input of the learned operators."""
-    return _kept(spark, sf_dir, "matrix", lambda: models.labelled(_pairs(spark, sf_dir), _truth(spark, sf_dir)))
+    return _kept(spark, sf_dir, "matrix", lambda: written(models.labelled(_pairs(spark, sf_dir), _truth(spark, sf_dir))))
 
 
 @query("s1 long, cand long, y long, fold long, p double")
@@ -691,7 +696,7 @@ def trained_links(spark, sf_dir):
 def _oof(spark, sf_dir):
     """The labelled matrix, its views, and each pair's p from models that never saw its entity."""
     v = _views(spark, sf_dir)
-    return _kept(spark, sf_dir, "out_of_fold", lambda: models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES)), v
+    return _kept(spark, sf_dir, "out_of_fold", lambda: written(models.out_of_fold(_matrix(spark, sf_dir), _BASE_FEATURES))), v
 
 
 @query("country string, s1 long, cand long, p1 double, p double")

@@ -28,3 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what builds on it has a short plan, and a lost executor takes
+    nothing of it along."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
