@@ -85,10 +85,14 @@ def hot_keys(many: DataFrame, *keys: str, least: int | None = None) -> DataFrame
 
     No more than BROADCAST_ROWS keys at any size, as what counts as hot grows with the table; None if there is none.
     """
-    limit = max(least or HOT_ROWS, many.count() // BROADCAST_ROWS)
+    limit = least or HOT_ROWS
     found = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    hot = stored(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
-    return hot if hot.limit(1).count() else None
+    hot = stored(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"))
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if rows is None:
+        return None
+    limit = max(limit, rows // BROADCAST_ROWS)  # no more keys than BROADCAST_ROWS have more rows than that
+    return hot.where(F.col("_n") > limit).withColumn("_salts", F.ceil(F.col("_n") / limit).cast("int")).drop("_n")
 
 
 def dealt_join(many: DataFrame, one: DataFrame, keys: str | list[str], hot: DataFrame | None, spread: str, how: str = "inner") -> DataFrame:
