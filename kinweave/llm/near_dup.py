@@ -40,7 +40,9 @@ SLACK = 4.5
 #: Shingles that the registers take in at once.
 TILE = 1 << 15
 #: Members of a block within a family; sets up to which a hash is counted pair by pair; hashes of one matrix product.
-BLOCK, FEW, COLUMNS = 500, 24, 8192
+BLOCK, FEW, COLUMNS = 1000, 24, 8192
+#: Blocks of a family from which copying every set to each of them costs more than first finding the members that can't link.
+MANY_BLOCKS = 10
 
 _rng = np.random.default_rng(20_240_601)
 _FACTORS = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -292,13 +294,13 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) across components within families; members: family, sig, label; sets: sig, set.
 
-    Members that may have such a link (all of a family of one block) are dealt into blocks by size within their family. A pair of blocks whose sizes
+    Members that may have such a link (all of a family of few blocks) are dealt into blocks by size within their family. A pair of blocks whose sizes
     allow the threshold is a task of its own: all pairs are compared on their full sets, in memory, and what comes out is
     no more than a forest over its members.
     """
     rows = stored(members.join(sets, "sig").withColumn("n", (F.octet_length("set") / 8).cast("long")))
-    large = stored(rows.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("family"))
-    if large.limit(1).count():  # a family of one block is compared as it is
+    large = stored(rows.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > MANY_BLOCKS * BLOCK).select("family"))
+    if large.limit(1).count():  # the result is the same without this
         hot = hot_keys(rows, "family")
         inside = dealt_join(rows, large.withColumn("large", F.lit(True)), "family", hot, "sig", "left")
         inside = stored(inside)

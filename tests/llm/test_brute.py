@@ -216,6 +216,7 @@ def test_counts_of_further_kinds(spark):
 def test_many_near_copies_of_one_text(spark, block, monkeypatch):
     """Copies that each differ from the first by a different share; some are linked over others alone."""
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "MANY_BLOCKS", 2)
     monkeypatch.setattr(shared, "HOT_ROWS", 20)
     r = random.Random(block)
     base = [f"w{i}" for i in range(120)]
