@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import buffers, id_text, map_arrow, mix64, release, row_chunks, shingle_sets, slices
-from kinweave.llm.shared import dealt_join, forget, hot_keys, scratch, small, stored
+from kinweave.llm.shared import dealt_join, forget, hot_keys, hot_of, scratch, small, stored
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -353,8 +353,9 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
         classes = stored(found)
         banded = stored(classes.select("sig", F.explode("keys").alias("key")))
-        hubs = stored(banded.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"))
-        shared = stored(dealt_join(banded, hubs, "key", hot_keys(banded, "key"), "sig"))
+        hubs = stored(banded.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("members")).where("members > 1"))
+        crowded = hot_of(hubs, "members", "key")
+        shared = stored(dealt_join(banded, hubs.select("key", "hub"), "key", crowded, "sig"))
         pairs = stored(_estimated(stored(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct()), classes, threshold))
         links = stored(_confirmed(pairs, stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle)), percent))
         forget(pairs)
@@ -363,7 +364,7 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         forget(banded)
         forget(shared)
         mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"))
-        members = stored(dealt_join(labelled, mixed, "key", hot_keys(labelled, "key"), "sig").groupBy("sig", "hub").agg(F.first("label").alias("label")))
+        members = stored(dealt_join(labelled, mixed, "key", crowded, "sig").groupBy("sig", "hub").agg(F.first("label").alias("label")))
         if members.limit(1).count():
             families = components(members.selectExpr("hub as a", "sig as b"))
             own = stored(members.groupBy("sig").agg(F.first("label").alias("label")).join(families.selectExpr("node as sig", "label as family"), "sig"))

@@ -85,8 +85,13 @@ def hot_keys(many: DataFrame, *keys: str, least: int | None = None) -> DataFrame
 
     No more than BROADCAST_ROWS keys at any size, as what counts as hot grows with the table; None if there is none.
     """
+    return hot_of(many.groupBy(*keys).agg(F.count("*").alias("_n")), "_n", *keys, least=least)
+
+
+def hot_of(counts: DataFrame, n: str, *keys: str, least: int | None = None) -> DataFrame | None:
+    """hot_keys() of a table whose rows are counted already, as `n`, for each key."""
     limit = least or HOT_ROWS
-    found = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    found = counts.select(*keys, F.col(n).alias("_n")).where(F.col("_n") > limit)
     hot = stored(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"))
     rows = hot.agg(F.sum("_n")).first()[0]
     if rows is None:
