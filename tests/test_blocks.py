@@ -1,9 +1,18 @@
 """Tables that are larger than a cap, and rounding as SQL does it."""
 
+import numpy as np
+
 from kinweave.operators import blocking
 from kinweave.plans import queries
 
 
+def test_rounds_as_sql(spark, duck):
+    values = [323 / 640, 0.0, -323 / 640, 0.0078125, 1e-9, 123456.0000005, 2.5e12, 1 / 3]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(queries._six(queries.F.col("x"))).collect()]
+    want = [duck.execute("select round(cast(? as double), 6)", [v]).fetchone()[0] for v in values]
+    assert got == want and np.isclose(got, values, atol=1e-6).all()
+
+
 def test_capped_tokens_have_no_weight(spark, tmp_path, monkeypatch):
     """A token in more than DF_CAP targets is in neither result."""
     n = 3 * blocking.DF_CAP // 2 + 3000
