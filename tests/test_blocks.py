@@ -1,10 +1,61 @@
-"""Tables that are larger than a cap, and rounding as SQL does it."""
+"""Sums of token weights over pairs of blocks, and rounding as SQL does it."""
+
+import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from kinweave.functions import overlap
 from kinweave.operators import blocking
 from kinweave.plans import queries
 
+CODE = 1_000_000_000
+
+
+def table(ids, id_name, **columns):
+    return pa.table({id_name: pa.array(ids, pa.int64()), **{n: pa.array(v, pa.list_(pa.float64() if n[0] == "w" else pa.int64())) for n, v in columns.items()}})
+
+
+@pytest.mark.parametrize(("share", "common"), [(0.012, False), (0.012, True), (9.0, True), (0.0, True)])
+def test_best_pairs_brute_force(share, common, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARE", share)
+    monkeypatch.setattr(overlap, "MATCHES", 200)
+    r = random.Random(7)
+    weight = {t: round(r.uniform(0.5, 4), 3) for t in range(60)}
+    often = {t for t in weight if common and t % 4 == 0}
+    draw = lambda: sorted(r.sample(range(60), r.choice([0, 1, 2, 5, 9])))
+    mine, theirs = {i: (draw(), draw()) for i in range(40)}, {i: (draw(), draw()) for i in range(100, 190)}
+    theirs |= {i: theirs[100] for i in range(190, 260)}  # many equal ones
+    e = table(list(mine), "s1", **{f"t{c}": [m[c] for m in mine.values()] for c in (0, 1)}, **{f"w{c}": [[-weight[x] if x in often else weight[x] for x in m[c]] for m in mine.values()] for c in (0, 1)})
+    t = table(list(theirs), "cand", **{f"t{c}": [m[c] for m in theirs.values()] for c in (0, 1)})
+    found = {(x["s1"], x["cand"]): x for x in overlap.best_pairs(e, t, (5, 3), 2, 6.0).to_pylist()}
+    for i, m in mine.items():
+        for c, most in ((0, 5), (1, 3)):
+            rows = []
+            for j, o in theirs.items():
+                both = set(m[c]) & set(o[c])
+                score = sum(weight[x] for x in both)
+                if both - often and (len(both) >= 2 or round(score, 6) >= 6):
+                    rows.append((-round(score, 6), j, len(both)))
+            for score, j, shared in sorted(rows)[:most]:
+                x = found[i, j]
+                assert x[f"score{c}"] == pytest.approx(-score, abs=1e-9) and x[f"shared{c}"] == shared and x[f"made{c}"]
+
+
+def test_rows_of_one_id_count_together():
+    t = table([9, 9], "cand", t0=[[1, 2], [2, 3]])
+    found = overlap.best_pairs(table([1], "s1", t0=[[1, 2, 3]], w0=[[1.0, 2.0, 4.0]]), t, (5,), 2, 6.0).to_pylist()
+    assert [(x["cand"], x["score0"], x["shared0"]) for x in found] == [(9, 9.0, 4)]
+
+
+def test_no_match_is_stored(spark):
+    """What the candidate table exchanges are records and best pairs: no row of it stands for matches of a token."""
+    rows = [((i % 3 + 1) * CODE + i, i % 3 + 1, "en", "alpha beta", "gamma delta") for i in range(30)]
+    views = blocking.record_views(spark.createDataFrame(rows, "code long, source int, country string, name string, address string"))
+    plan = blocking.block(views)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "cands" not in plan
+
 
 def test_rounds_as_sql(spark, duck):
     values = [323 / 640, 0.0, -323 / 640, 0.0078125, 1e-9, 123456.0000005, 2.5e12, 1 / 3]
