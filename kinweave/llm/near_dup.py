@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import buffers, id_text, map_arrow, mix64, release, row_chunks, shingle_sets, slices
-from kinweave.llm.shared import dealt_join, forget, hot_keys, hot_of, scratch, small, stored
+from kinweave.llm.shared import dealt_join, forget, hot_keys, hot_of, scratch, small, stored, sweep
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -305,6 +305,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         inside = dealt_join(rows, large.withColumn("large", F.lit(True)), "family", hot, "sig", "left")
         inside = stored(inside)
         forget(rows)
+        sweep(rows.sparkSession)
         rows = inside.where("large is null").drop("large").unionByName(_possible(inside.where("large").drop("large"), percent))
     rows = stored(_blocked(stored(rows)))
     bounds = stored(rows.groupBy("family", "own").agg(F.min("n").alias("least"), F.max("n").alias("most")))
@@ -352,23 +353,41 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = stored(sketch(documents, id_col, text_col, shingle))
         found = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
         classes = stored(found)
+        thin = stored(rows.select("id", "n", "sig"), keep=True)  # each wide table goes as soon as its last reader is done
+        forget(rows)
         banded = stored(classes.select("sig", F.explode("keys").alias("key")))
+        sweep(spark)
         hubs = stored(banded.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("members")).where("members > 1"))
         crowded = hot_of(hubs, "members", "key")
         shared = stored(dealt_join(banded, hubs.select("key", "hub"), "key", crowded, "sig"))
-        pairs = stored(_estimated(stored(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct()), classes, threshold))
-        links = stored(_confirmed(pairs, stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle)), percent))
+        forget(banded)
+        sweep(spark)
+        near = stored(shared.where("sig != hub").selectExpr("hub as a", "sig as b").distinct())
+        sweep(spark)
+        pairs = stored(_estimated(near, classes, threshold))
+        forget(near)
+        wide, classes = classes, stored(classes.select("sig", "id"))
+        forget(wide)
+        sweep(spark)
+        sets = stored(_full_sets(documents, classes, pairs, id_col, text_col, shingle))
+        sweep(spark)
+        links = stored(_confirmed(pairs, sets, percent))
         forget(pairs)
+        forget(sets)
+        sweep(spark)
         labels = components(links)
         labelled = stored(shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "hub", F.coalesce("label", "sig").alias("label")))
-        forget(banded)
         forget(shared)
+        sweep(spark)
         mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"))
         members = stored(dealt_join(labelled, mixed, "key", crowded, "sig").groupBy("sig", "hub").agg(F.first("label").alias("label")))
+        forget(labelled)
+        sweep(spark)
         if members.limit(1).count():
             families = components(members.selectExpr("hub as a", "sig as b"))
             own = stored(members.groupBy("sig").agg(F.first("label").alias("label")).join(families.selectExpr("node as sig", "label as family"), "sig"))
             sets = stored(_full_sets(documents, classes, own.selectExpr("sig as a", "sig as b"), id_col, text_col, shingle))
+            sweep(spark)
             further = stored(_across(own, sets, percent))
             if further.limit(1).count():
                 labels = components(links.select("a", "b").union(further))
@@ -377,7 +396,7 @@ def classes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = classes.select("sig", "id").join(nodes.withColumnRenamed("node", "sig"), "sig").groupBy("label").agg(F.min("id").alias("component"))
         linked = dealt_join(nodes, least, "label", hot, "node").select(F.col("node").alias("sig"), "component")
         members = stored(classes.select("sig", "id").join(linked, "sig", "left").select("sig", F.coalesce("component", "id").alias("component")), keep=True)
-        return stored(rows.select("id", "n", "sig"), keep=True), members
+        return thin, members
 
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:

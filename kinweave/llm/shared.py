@@ -60,6 +60,12 @@ def forget(df: DataFrame) -> None:
             drop(df.sparkSession, [path])
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of jobs whose result is stored: it does so when the driver collects garbage,
+    which a driver with memory to spare does late."""
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what stored() has kept; the results of earlier operators that still read it are lost."""
     drop(spark, _paths)
