@@ -64,3 +64,18 @@ def test_no_pair_carries_views(records, views):
 def test_no_records_and_no_pairs(records, views):
     pairs = pairs_of(records)
     assert features.text_sets(pairs.limit(0), views).count() == 0 and features.text_sets(pairs, views.limit(0)).count() == 0
+
+
+def test_candidates_of_many_blocks(records, monkeypatch):
+    """Packed blocks of a few records give the candidates that one block gives, tokens over their caps included."""
+    views = blocking.record_views(records.where("code != 2000000001"))
+    rows = lambda **caps: sorted(map(repr, map(tuple, blocking.block(views, topk=4, name_topk=3, **caps).collect())))
+    one = [rows(), rows(gen_cap=12, name_gen_cap=5), rows(df_cap=9)]
+    monkeypatch.setattr(blocking, "CHUNK", 6)
+    assert one[0] and [rows(), rows(gen_cap=12, name_gen_cap=5), rows(df_cap=9)] == one
+
+
+def test_weights_come_once_for_a_block(records):
+    """No row of an entity's token is collected again, and blocks go to their tasks packed."""
+    plan = blocking.block(blocking.record_views(records))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "payload" in plan
