@@ -79,3 +79,15 @@ def test_weights_come_once_for_a_block(records):
     """No row of an entity's token is collected again, and blocks go to their tasks packed."""
     plan = blocking.block(blocking.record_views(records))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "payload" in plan
+
+
+def test_supporters_are_compared_in_blocks(records, monkeypatch):
+    """Support is that of one block, country or not, and the likeness of two records comes from packed blocks."""
+    views = blocking.record_views(records.where("code != 2000000001"))
+    scored = blocking.block(views, topk=6, name_topk=3).withColumn("p", F.round(F.col("score") / (F.col("score") + 3), 6)).localCheckpoint()
+    rows = lambda s: sorted(repr([round(x, 9) for x in r]) for r in features.coherence(s, views).collect())
+    one = rows(scored)
+    monkeypatch.setattr(features, "CHUNK", 6)
+    assert any(r["coh_n_strong"] > 0 for r in features.coherence(scored, views).collect())
+    assert rows(scored) == one == rows(scored.drop("country"))
+    assert "payload" in features.coherence(scored, views)._jdf.queryExecution().optimizedPlan().toString()
