@@ -43,6 +43,30 @@ def test_best_pairs_brute_force(share, common, monkeypatch):
                 assert x[f"score{c}"] == pytest.approx(-score, abs=1e-9) and x[f"shared{c}"] == shared and x[f"made{c}"]
 
 
+@pytest.mark.parametrize("many", [0.05, 0.0])
+def test_bounds_leave_no_best_pair_out(many, monkeypatch):
+    """Targets beyond the groups of bounds, in one block and in several: the best of both channels, and few besides."""
+    monkeypatch.setattr(overlap, "MANY", many)
+    r = np.random.default_rng(3)
+    df = 1 / np.arange(1, 401) ** 0.8
+    draw = lambda n: np.sort(r.choice(400, n, replace=False, p=df / df.sum())).tolist()
+    mine, theirs = [(draw(60), draw(4)) for _ in range(12)], [(draw(60), draw(4)) for _ in range(900)]
+    weight = np.log1p(1 / df / 2) ** 2
+    e = table(range(12), "s1", **{f"t{c}": [m[c] for m in mine] for c in (0, 1)}, **{f"w{c}": [weight[m[c]].tolist() for m in mine] for c in (0, 1)})
+    t = table(range(100, 1000), "cand", **{f"t{c}": [o[c] for o in theirs] for c in (0, 1)})
+    seen = []
+    monkeypatch.setattr(overlap.Channel, "_ranked", lambda self, i, found, *a, f=overlap.Channel._ranked: seen.append(len(found)) or f(self, i, found, *a))
+    for blocks in (t, [t.slice(0, 300), t.slice(300, 450), t.slice(750)]):
+        found = {(x["s1"], x["cand"]): x for x in overlap.best_pairs(e, blocks, (10, 5), 2, 6.0).to_pylist()}
+        for i, m in enumerate(mine):
+            for c, most in ((0, 10), (1, 5)):
+                rows = [(-round(float(weight[both].sum()), 6), 100 + j, len(both)) for j, o in enumerate(theirs) if (both := sorted(set(m[c]) & set(o[c])))]
+                for score, j, shared in sorted(x for x in rows if x[2] >= 2 or x[0] <= -6)[:most]:
+                    assert found[i, j][f"score{c}"] == pytest.approx(-score, abs=2e-6) and found[i, j][f"shared{c}"] == shared and found[i, j][f"made{c}"]
+        assert len(found) <= 12 * 15 * 2
+    assert np.median(seen[:24:2]) < 450
+
+
 def test_rows_of_one_id_count_together():
     t = table([9, 9], "cand", t0=[[1, 2], [2, 3]])
     found = overlap.best_pairs(table([1], "s1", t0=[[1, 2, 3]], w0=[[1.0, 2.0, 4.0]]), t, (5,), 2, 6.0).to_pylist()
